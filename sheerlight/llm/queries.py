@@ -22,6 +22,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import edit_probe
+
+    return edit_probe(table(spark, sf_dir, "documents"))
+
+
+def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hilbert import shard_report
+
+    return shard_report(table(spark, sf_dir, "documents"))
+
+
 def op9_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -30,5 +42,11 @@ def op9_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op9_addressable_codes)}
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).drop("tie")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op3_merkle_fingerprints, op7_hilbert_shards, op9_addressable_codes, op10_source_mixing)}
 ORACLE_SQL: dict[str, str] = {}
