@@ -28,6 +28,12 @@ def op3_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_probe(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .hilbert import shard_report
 
@@ -48,5 +54,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("tie")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op3_merkle_fingerprints, op7_hilbert_shards, op9_addressable_codes, op10_source_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op3_merkle_fingerprints, op6_ngram_jaccard, op7_hilbert_shards, op9_addressable_codes, op10_source_mixing)}
 ORACLE_SQL: dict[str, str] = {}
