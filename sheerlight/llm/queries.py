@@ -28,6 +28,12 @@ def op3_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_probe(table(spark, sf_dir, "documents"))
 
 
+def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import near_duplicates
 
@@ -40,6 +46,15 @@ def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_report(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .labelled import fold, sample
+    from .quality import SAMPLE, fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(sample(docs, table(spark, sf_dir, "labels"), "quality", fold("doc_id", 3) != 1, SAMPLE))
+    return score(docs, model).withColumn("held_out", fold("doc_id", 3) == 1).select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,5 +69,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("tie")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op3_merkle_fingerprints, op6_ngram_jaccard, op7_hilbert_shards, op9_addressable_codes, op10_source_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op3_merkle_fingerprints, op5_benchmark_leaks, op6_ngram_jaccard, op7_hilbert_shards, op8_quality_neighbours, op9_addressable_codes, op10_source_mixing)}
 ORACLE_SQL: dict[str, str] = {}
