@@ -22,6 +22,15 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .labelled import fold, sample
+    from .toxicity import SAMPLE, fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    net = fit(sample(docs, table(spark, sf_dir, "labels"), "toxic", fold("doc_id", 4) != 2, SAMPLE))
+    return score(docs, net).withColumn("held_out", fold("doc_id", 4) == 2).select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .merkle import edit_probe
 
@@ -69,5 +78,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("tie")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op3_merkle_fingerprints, op5_benchmark_leaks, op6_ngram_jaccard, op7_hilbert_shards, op8_quality_neighbours, op9_addressable_codes, op10_source_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_merkle_fingerprints, op5_benchmark_leaks, op6_ngram_jaccard, op7_hilbert_shards, op8_quality_neighbours, op9_addressable_codes, op10_source_mixing)}
 ORACLE_SQL: dict[str, str] = {}
