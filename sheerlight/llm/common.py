@@ -127,10 +127,10 @@ def powers(n: int) -> np.ndarray:
 class Words:
     """The words of some texts: ``start``/``end`` into ``data``, the text of each, and a 64-bit hash of each."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True, space: np.ndarray = _SPACE):
         self.data = data = _LOWER[data] if lower else data
         self.docs = len(offsets) - 1
-        word = ~_SPACE[data]
+        word = ~space[data]
         first = np.zeros(len(data) + 1, bool)
         first[offsets] = True
         before = np.empty(len(data), bool)

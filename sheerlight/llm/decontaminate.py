@@ -253,28 +253,41 @@ def judge(t: Tokens, index: Index, n_docs: int) -> list[list[tuple[int, int, boo
     return out
 
 
+def judged(texts: pa.Array, index: Index) -> Iterator[tuple[int, int, list[list[tuple[int, int, bool]]]]]:
+    """Runs of texts as (first, after the last, what each holds), so that tokens of a few texts are in memory at once."""
+    whole = ["" if x is None else x for x in texts.to_pylist()]
+    first = 0
+    while first < len(whole):
+        last, chars = first + 1, len(whole[first])
+        while last < len(whole) and chars + len(whole[last]) <= CHUNK_CHARS:
+            chars += len(whole[last])
+            last += 1
+        yield first, last, judge(tokens_of(whole[first:last]), index, last - first)
+        first = last
+
+
+def benchmark_blocks(benchmark: DataFrame, block: int, item: str, item_text: str) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of about ``block`` windows at most, one of which is on the driver at a time."""
+    bench = benchmark.filter(benchmark[item_text].isNotNull()).select(benchmark[item].cast("long").alias("id"), benchmark[item_text].cast("string").alias("x"))
+    size = bench.agg(F.sum(F.length("x"))).first()[0] or 0
+    blocks = max(1, -(-size // (4 * block)))  # a token and the gap after it take four characters at least, nearly always
+    for k in range(blocks):
+        yield sorted((r["id"], r["x"]) for r in bench.filter(F.pmod(F.xxhash64("x"), F.lit(blocks)) == k).collect())
+
+
 def _pass(docs: DataFrame, items: list[tuple[int, str]], window: int) -> DataFrame:
-    spark = docs.sparkSession
-    told = spark.sparkContext.broadcast(items)
+    told = docs.sparkSession.sparkContext.broadcast(items)
     loaded: list[Index] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not loaded:
             loaded.append(Index(told.value, window))
         for b in batches:
-            texts = ["" if x is None else x for x in b.column(1).to_pylist()]
-            first = 0
-            while first < len(texts):
-                last, chars = first + 1, len(texts[first])
-                while last < len(texts) and chars + len(texts[last]) <= CHUNK_CHARS:
-                    chars += len(texts[last])
-                    last += 1
-                found = judge(tokens_of(texts[first:last]), loaded[0], last - first)
+            for first, last, found in judged(b.column(1), loaded[0]):
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(first, last - first), b.column(2).slice(first, last - first), pa.array([[x[0] for x in f] for f in found], pa.list_(pa.int64())), pa.array([max((x[1] for x in f), default=0) for f in found], pa.int64()), pa.array([any(x[2] for x in f) for f in found])],
                     names=["key", "_row", "items", "covered", "reparameterised"],
                 )
-                first = last
 
     return docs.mapInArrow(run, "key long, _row long, items array<long>, covered long, reparameterised boolean")
 
@@ -283,19 +296,38 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
     """For each row: key, ``contaminated``, ``items`` (ids of the items it holds, sorted), ``covered`` and ``reparameterised``."""
     small_batches(docs.sparkSession)
     rows = docs.select(docs[key].cast("long").alias("key"), docs[text].cast("string").alias("text"), F.lit(0).cast("long").alias("_row"))
-    bench = benchmark.filter(benchmark[item_text].isNotNull()).select(benchmark[item].cast("long").alias("id"), benchmark[item_text].cast("string").alias("x"))
-    size = bench.agg(F.sum(F.length("x"))).first()[0] or 0
-    blocks = max(1, -(-size // (4 * block)))  # a token and the gap after it take four characters at least, nearly always
-    if blocks == 1:
-        found = _pass(rows, sorted((r["id"], r["x"]) for r in bench.collect()), window)
-        out = found.select("key", "items", "covered", "reparameterised")
-    else:
-        # Rows are numbered so that several passes meet again without relying on unique keys.
-        rows = cut(rows.withColumn("_row", F.monotonically_increasing_id()))
-        parts = None
-        for k in range(blocks):
-            part = sorted((r["id"], r["x"]) for r in bench.filter(F.pmod(F.xxhash64("x"), F.lit(blocks)) == k).collect())
-            one = _pass(rows, part, window)
-            parts = one if parts is None else parts.union(one)
-        out = parts.groupBy("_row").agg(F.first("key").alias("key"), F.flatten(F.collect_list("items")).alias("items"), F.max("covered").alias("covered"), F.max("reparameterised").alias("reparameterised")).drop("_row")
+    out = None
+    for k, items in enumerate(benchmark_blocks(benchmark, block, item, item_text)):
+        if k == 1:  # several passes: rows are numbered, so that their results meet again without relying on unique keys
+            rows = cut(rows.withColumn("_row", F.monotonically_increasing_id()))
+            out = _pass(rows, first_items, window)
+        first_items = items
+        one = _pass(rows, items, window)
+        out = one if out is None else out.union(one)
+    if k:
+        out = out.groupBy("_row").agg(F.first("key").alias("key"), F.flatten(F.collect_list("items")).alias("items"), F.max("covered").alias("covered"), F.max("reparameterised").alias("reparameterised"))
     return out.select(F.col("key").alias(key), (F.size("items") > 0).alias("contaminated"), F.array_sort(F.array_distinct("items")).alias("items"), "covered", "reparameterised")
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK_ITEMS, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that no item contaminates, with all their columns; nothing is shuffled.
+
+    A large benchmark is taken in blocks: each leaves what it doesn't contaminate to the next.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    place = docs.columns.index(text)
+    for items in benchmark_blocks(benchmark, block, item, item_text):
+        told = spark.sparkContext.broadcast(items)
+        loaded: list[Index] = []
+
+        def run(batches: Iterator[pa.RecordBatch], told=told, loaded=loaded) -> Iterator[pa.RecordBatch]:
+            if not loaded:
+                loaded.append(Index(told.value, window))
+            for b in batches:
+                keep = [not found for _, _, part in judged(b.column(place), loaded[0]) for found in part]
+                if keep:
+                    yield b.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

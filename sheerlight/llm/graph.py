@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -35,3 +37,36 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components not settled after {rounds} rounds")
     stars = es.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.union(stars.select(F.col("root").alias("node"), "root")).distinct()
+
+
+def _tops(pairs: DataFrame, first_pairs: int) -> DataFrame:
+    """For each a, the b's met most often."""
+    often = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+    best = often.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "b")), asc=False), 1, first_pairs).alias("top"))  # as many as the lists of one node at most
+    return best.select("a", F.explode("top.b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def candidate_components(entries: DataFrame, may: Callable[[Column, Column], Column], verified: Callable[[DataFrame], DataFrame], first_pairs: int = 3, told: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Components of the graph whose links are those pairs of one list that ``may`` link and that ``verified`` keeps.
+
+    ``entries``: key (of the list), node, ``info`` (what ``may`` and ``told`` look at) and ``last`` (nodes of lower values
+    are preferred to tie a list).  First each list ties its nodes to one of them, chosen by hash, and the pairs met most
+    often are verified; then all pairs of a list whose nodes are not in one component yet, but for those that ``told``
+    says an earlier list has.  No link between two components is left out, and within a group of thousands of copies
+    only a few pairs a member are made.
+    """
+    pick = F.min(F.struct("last", F.xxhash64("node", "key").alias("h"), F.col("node").alias("pivot"), F.col("info").alias("about")))
+    pivots = entries.groupBy("key").agg(pick.alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "p.pivot", "p.about")
+    tied = entries.join(pivots.hint("merge"), "key").filter((F.col("node") != F.col("pivot")) & may(F.col("info"), F.col("about")))
+    edges = cut(verified(_tops(tied.select(F.col("node").alias("a"), F.col("pivot").alias("b")), first_pairs)))
+    known = connected_components(edges)
+    placed = entries.join(known.hint("merge"), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    open_keys = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
+    rest = cut(placed.join(open_keys.hint("merge"), "key").select("key", "node", "info", "comp"))
+    x, y = rest.alias("x"), rest.alias("y").hint("merge")
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & may(F.col("x.info"), F.col("y.info"))
+    if told is not None:
+        meet &= ~F.coalesce(told(F.col("x.info"), F.col("y.info")), F.lit(False))
+    pairs = cut(x.join(y, meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+    more = verified(pairs)
+    return connected_components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))

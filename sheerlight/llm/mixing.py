@@ -26,6 +26,8 @@ SHARE = 1.5
 MOST = 2.0
 WEIGHTS = (5, 2, 1)
 SEED = 20
+#: Rows of the table of sources that are broadcast at most; a longer table is joined by a shuffle.
+MOST_BROADCAST = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -64,19 +66,50 @@ def targets(sizes: DataFrame, share: float = SHARE, most: float = MOST, weights:
     return ranked.withColumn("target", F.least(cap, F.lit(level) * F.col("weight")))
 
 
-def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
-    """For each row: key, size, source, source_size, target, taken (words), copies (times the mix takes it)."""
-    whole = text_of(docs[text])
-    hashed = F.xxhash64(docs[key].cast("string"), whole, F.lit(seed))
+def _order(key: Column, text: Column, seed: int) -> tuple[Column, Column]:
+    """A row's hash, and its exponential key."""
+    hashed = F.xxhash64(key.cast("string"), text, F.lit(seed))
     u = (F.shiftrightunsigned(hashed, 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-    rows = cut(docs.select(docs[key].alias("key"), docs[source].cast("string").alias("source"), word_count(whole).alias("size"), (-F.log(u) / quality_weight(whole)).alias("order"), hashed.alias("tie")))
+    return hashed, -F.log(u) / quality_weight(text)
+
+
+def plan_mix(docs: DataFrame, share: float, most: float, weights: tuple[int, ...], seed: int, text: str, key: str, source: str) -> DataFrame:
+    """key, source, size, order, tie, source_size, target, epochs and fraction (0 or 1) of each row."""
+    whole = text_of(docs[text])
+    hashed, order = _order(docs[key], whole, seed)
+    rows = cut(docs.select(docs[key].alias("key"), docs[source].cast("string").alias("source"), word_count(whole).alias("size"), order.alias("order"), hashed.alias("tie")))
     level = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights)
     placed = running(rows, [F.col("source").asc_nulls_last(), F.col("order"), F.col("tie"), F.col("key").asc_nulls_last()], {"before": "size"})
-    held = placed.join(level, placed["source"].eqNullSafe(level["source"])).drop(level["source"])
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    rest = F.col("target") - epochs * F.col("source_size")
+    level = cut(level.select(F.col("source").alias("s"), "source_size", "target", "source_start"))
+    few = level.count() <= MOST_BROADCAST
+    held = placed.join(F.broadcast(level) if few else level.hint("merge"), placed["source"].eqNullSafe(level["s"]))
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    rest = F.col("target") - F.col("epochs") * F.col("source_size")
     inside = F.col("before") - F.col("source_start")
     # The whole document counts if its middle lies within the rest: it fits, or crosses the rest by less than half.
     fraction = F.when((F.col("size") > 0) & (inside + F.col("size") / 2.0 <= rest), 1).otherwise(0)
-    copies = (epochs + fraction).cast("long")
-    return held.select(F.col("key").alias(key), "size", F.col("source").alias(source), "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "tie")
+    return held.withColumn("epochs", epochs).withColumn("fraction", fraction).select("key", "source", "size", "order", "tie", "source_size", "target", "epochs", "fraction")
+
+
+def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
+    """For each row: key, size, source, source_size, target, taken (words), copies (times the mix takes it)."""
+    copies = F.when(F.col("size") > 0, F.col("epochs") + F.col("fraction")).otherwise(0)
+    plan = plan_mix(docs, share, most, weights, seed, text, key, source)
+    return plan.select(F.col("key").alias(key), "size", F.col("source").alias(source), "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+
+
+def take_mix(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
+    """``docs`` as the mix takes them: each row as often as ``copies`` says, with all its columns.
+
+    Within a source the fraction is a run of the order, so a row is in it if it comes no later than the run's last.  That place
+    is one row for each source; texts are not shuffled unless there are more sources than fit a checked broadcast.
+    """
+    chosen = cut(plan_mix(docs, share, most, weights, seed, text, key, source))
+    last = chosen.groupBy("source").agg(F.max("epochs").alias("epochs"), F.max(F.when(F.col("fraction") == 1, F.struct("order", "tie"))).alias("last")).select(F.col("source").alias("__source"), F.col("epochs").alias("__epochs"), F.col("last").alias("__last"))
+    last = cut(last)
+    few = last.count() <= MOST_BROADCAST
+    hashed, order = _order(docs[key], text_of(docs[text]), seed)
+    placed = docs.join(F.broadcast(last) if few else last.hint("merge"), docs[source].cast("string").eqNullSafe(F.col("__source")))
+    within = F.col("__last").isNotNull() & (F.struct(order.alias("order"), hashed.alias("tie")) <= F.col("__last"))
+    sized = placed.withColumn("__copies", F.when(word_count(text_of(F.col(text))) > 0, F.col("__epochs") + F.when(within, 1).otherwise(0)).otherwise(0).cast("int"))
+    return sized.filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

@@ -37,6 +37,12 @@ def op3_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_probe(table(spark, sf_dir, "documents"))
 
 
+def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import line_report
+
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import find_leaks
 
@@ -75,8 +81,8 @@ def op9_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
-    return mix(table(spark, sf_dir, "documents")).drop("tie")
+    return mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_merkle_fingerprints, op5_benchmark_leaks, op6_ngram_jaccard, op7_hilbert_shards, op8_quality_neighbours, op9_addressable_codes, op10_source_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_merkle_fingerprints, op4_fuzzy_lines, op5_benchmark_leaks, op6_ngram_jaccard, op7_hilbert_shards, op8_quality_neighbours, op9_addressable_codes, op10_source_mixing)}
 ORACLE_SQL: dict[str, str] = {}

@@ -7,10 +7,11 @@ network reads windows of ``WINDOW`` words every ``STRIDE`` words, which overlap
 softmax over the hidden states pools them, and a linear layer gives the window's logit.  A document's logit is its
 highest window's, mapped to a score by a monotone calibration.
 
-Training is multiple-instance learning on a bounded sample of labelled texts (``SAMPLE``, each of at most ``FIT_CHARS`` characters):
-tables begin with the log odds of words and n-grams in the first dimension; each epoch trains on the
-highest window of each toxic text and on the highest and some other windows of the others.  A fifth of the sample calibrates: the
-threshold of best F1 there comes to lie at ``CUT``.
+Training is multiple-instance learning on a bounded sample of labelled texts (``SAMPLE``, each of at most ``FIT_CHARS`` characters).
+The first dimension of both tables is a statistic, the log odds of a word or n-gram to stand in toxic texts; the network learns on
+each half of the texts with the odds of the other half, so that it cannot lean on words it has counted itself.  Each epoch trains on the
+highest window of each toxic text and on the highest and some other windows of the others.  Calibration uses a fifth that
+took no part and the halves under each other's odds: the threshold of best F1 comes to lie at ``CUT``.
 
 Null and empty texts are one window without words, and get the score of its bias.  Without labels of both kinds all scores are 0.
 Labels, language, source and ids are no inputs.  Repeated rows get equal scores.
@@ -202,8 +203,7 @@ class Network:
     def scores(self, v: Vocabulary) -> np.ndarray:
         if not self.trained:
             return np.zeros(len(v.count))
-        doc, logit = self.logits(v)
-        return self.calibrated(np.maximum.reduceat(logit, np.searchsorted(doc, np.arange(len(v.count)))))
+        return self.calibrated(_highest(self, v))
 
     def calibrated(self, logit: np.ndarray) -> np.ndarray:
         slope, shift = self.map
@@ -230,81 +230,116 @@ def _log_odds(rows: np.ndarray, owner: np.ndarray, toxic: np.ndarray, size: int)
     return np.where(a + b < 3, 0, np.clip(odds, -4, 4) * (a + b) / (a + b + 4)).astype(np.float32)
 
 
+def _odds(v: Vocabulary, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The log odds of all word rows and of all n-gram rows."""
+    owner = np.repeat(np.arange(len(y)), v.count)
+    per = np.diff(np.append(v.first, len(v.grams)))
+    used = np.unique(owner * max(1, len(v.row)) + v.order)  # distinct words of each text
+    o, w = used // max(1, len(v.row)), used % max(1, len(v.row))
+    rep = per[w]
+    gram = v.grams[np.repeat(v.first[w], rep) + np.arange(int(rep.sum())) - np.repeat(np.cumsum(rep) - rep, rep)]
+    return _log_odds(v.row[w], o, y, WORD_ROWS), _log_odds(gram, np.repeat(o, rep), y, GRAM_ROWS)
+
+
 def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 2) -> Network:
     net = Network(seed)
-    order = np.random.default_rng(seed).permutation(len(texts))
     if not len(texts) or labels.min() == labels.max():
         return net
-    held = order[: len(order) // 5]
-    fit = order[len(order) // 5 :]
-    if labels[fit].min() == labels[fit].max() or labels[held].min() == labels[held].max():
-        held = fit = order
-    v, y = _vocabulary([texts[i] for i in fit]), labels[fit].astype(np.int64)
     rng = np.random.default_rng(seed + 1)
-    owner = np.repeat(np.arange(len(y)), v.count)
-    net.p["word"][:, 0] += _log_odds(v.row[v.order], owner, y, WORD_ROWS)
-    per = np.diff(np.append(v.first, len(v.grams)))
-    used = np.unique(owner * len(v.row) + v.order)  # distinct words of each text
-    o, w = used // len(v.row), used % len(v.row)
-    rep = per[w]
-    gram = v.grams[np.repeat(v.first[w], rep) + np.arange(int(rep.sum())) - np.repeat(np.cumsum(rep) - rep, rep)]
-    net.p["gram"][:, 0] += _log_odds(gram, np.repeat(o, rep), y, GRAM_ROWS)
+    order = np.random.default_rng(seed).permutation(len(texts))
+    order = order[np.argsort(labels[order], kind="stable")]  # each part gets its share of both labels
+    held, halves = order[::5], [order[1::5], order[2::5], order[3::5], order[4::5]]
+    halves = [np.sort(np.concatenate(halves[:2])), np.sort(np.concatenate(halves[2:]))]
+    halves = [x for x in halves if len(x)] or [order]
+    parts = [(_vocabulary([texts[i] for i in x]), labels[x].astype(np.int64)) for x in halves]
+    odds = [_odds(v, y) for v, y in parts]
+    whole = np.concatenate(halves)
+    all_odds = _odds(_vocabulary([texts[i] for i in whole]), labels[whole].astype(np.int64))
+
+    def use_odds(which: tuple[np.ndarray, np.ndarray]) -> None:
+        net.p["word"][:, 0], net.p["gram"][:, 0] = which
+
     # The network begins as one that sees the first dimensions.
     for d in (0, 1):
         net.p["wx"][d][0, 2 * HIDDEN :] += 0.5
         net.p["wx"][d][WIDTH, 2 * HIDDEN :] += 0.5
     net.p["va"] = np.abs(net.p["va"])
     net.p["vo"] = np.abs(net.p["vo"])
-    doc, first, size = windows(v.count)
-    starts = np.searchsorted(doc, np.arange(len(y)))
-    ends = np.append(starts[1:], len(doc))
-    moments = {k: [np.zeros_like(a), np.zeros_like(a)] for k, a in net.p.items() if k not in ("word", "gram")}
-    squares = {k: np.full(len(net.p[k]), 1e-4, np.float32) for k in ("word", "gram")}
-    step = 0
-    x0, _ = net.inputs(v)
-    seedling = np.clip(x0[:, 0], 0, None) + np.clip(x0[:, WIDTH], 0, None)
+    trainer = _Trainer(net)
+    epochs = epochs * min(6, max(1, round(3000 / len(texts))))  # few texts are read more often
     for epoch in range(epochs):
-        if epoch == 0:
-            padded = np.append(seedling, 0)
-            top = np.concatenate([np.sort(padded[_index(v, first[i : i + 4096], size[i : i + 4096])], axis=1)[:, -2:].sum(1) for i in range(0, len(doc), 4096)])
-        else:
+        for k, (v, y) in enumerate(parts):
+            use_odds(odds[(k + 1) % len(parts)])
+            trainer.epoch(v, y, rng, epoch, 0.02 * (1 - 0.8 * epoch / epochs))
+    net.trained = True
+    found = []
+    for k, (v, y) in enumerate(parts):
+        use_odds(odds[(k + 1) % len(parts)])
+        found.append((_highest(net, v), y))
+    use_odds(all_odds)
+    if len(held):
+        found.append((_highest(net, _vocabulary([texts[i] for i in held])), labels[held]))
+    _calibrate(net, *(np.concatenate(x) for x in zip(*found, strict=True)))
+    return net
+
+
+class _Trainer:
+    """Adam on the network's own weights, Adagrad on the rows of the tables."""
+
+    def __init__(self, net: Network):
+        self.net, self.step = net, 0
+        self.moments = {k: [np.zeros_like(a), np.zeros_like(a)] for k, a in net.p.items() if k not in ("word", "gram")}
+        self.squares = {k: np.full(len(net.p[k]), 1e-3, np.float32) for k in ("word", "gram")}
+
+    def epoch(self, v: Vocabulary, y: np.ndarray, rng: np.random.Generator, number: int, rate: float) -> None:
+        net = self.net
+        doc, first, size = windows(v.count)
+        starts = np.searchsorted(doc, np.arange(len(y)))
+        ends = np.append(starts[1:], len(doc))
+        if number:
             _, top = net.logits(v)
+        else:  # by the odds alone
+            x, _ = net.inputs(v)
+            known = np.append(np.clip(x[:, 0], 0, None) + np.clip(x[:, WIDTH], 0, None), 0)
+            top = np.concatenate([np.sort(known[_index(v, first[i : i + 4096], size[i : i + 4096])], axis=1)[:, -2:].sum(1) for i in range(0, len(doc), 4096)])
         best = np.array([s + int(np.argmax(top[s:e])) for s, e in zip(starts, ends, strict=True)])
         others = np.flatnonzero(y[doc] == 0)
         extra = rng.choice(others, min(len(others), 2 * len(y)), replace=False)
         hard = others[np.argsort(-top[others])[: len(y)]]
         use = np.unique(np.concatenate([best, extra, hard]))
         rng.shuffle(use)
+        toxic = y[doc[use]]
+        lift = max(1.0, (1 - toxic).sum() / max(1, toxic.sum()) / 2)
         for at in range(0, len(use), 256):
             part = use[at : at + 256]
             target = y[doc[part]].astype(np.float32)
-            weight = np.where(target > 0, max(1.0, (y[doc[use]] == 0).sum() / max(1, y[doc[use]].sum()) / 2), 1.0).astype(np.float32)
-            words, inverse = np.unique(_index(v, first[part], size[part]), return_inverse=True)
-            words_at = inverse.reshape(len(part), WINDOW) - (words[0] < 0)
-            words = words[words >= 0]
-            if not len(words):
-                continue
-            sub = _Sub(v, words)
-            x, g = net.inputs(sub)
-            grad, dx, _ = net.gradients(x, words_at, size[part], target, weight)
-            step += 1
-            rate = 0.02 * (1 - 0.8 * epoch / epochs)
-            for k, m in moments.items():
-                m[0] += 0.1 * (grad[k] - m[0])
-                m[1] += 0.01 * (grad[k] ** 2 - m[1])
-                net.p[k] -= (rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-            # The character gradient goes to the n-gram that gave the maximum.
-            hit = g >= np.repeat(x[:, WIDTH:], np.diff(np.append(sub.first, len(sub.grams))), axis=0)
-            dg = np.repeat(dx[:, WIDTH:], np.diff(np.append(sub.first, len(sub.grams))), axis=0) * hit
-            for k, rows, d in (("word", sub.row, dx[:, :WIDTH]), ("gram", sub.grams, dg)):
-                ids, back = np.unique(rows, return_inverse=True)
-                total = np.zeros((len(ids), WIDTH), np.float32)
-                np.add.at(total, back, d)
-                squares[k][ids] += (total**2).mean(1)
-                net.p[k][ids] -= 0.05 * total / np.sqrt(squares[k][ids])[:, None]
-    net.trained = True
-    _calibrate(net, _vocabulary([texts[i] for i in held]), labels[held])
-    return net
+            self.batch(v, _index(v, first[part], size[part]), size[part], target, np.where(target > 0, lift, 1.0).astype(np.float32), rate)
+
+    def batch(self, v: Vocabulary, index: np.ndarray, size: np.ndarray, target: np.ndarray, weight: np.ndarray, rate: float) -> None:
+        net = self.net
+        words, inverse = np.unique(index, return_inverse=True)
+        at = inverse.reshape(index.shape) - (words[0] < 0)
+        words = words[words >= 0]
+        if not len(words):
+            return
+        sub = _Sub(v, words)
+        x, g = net.inputs(sub)
+        grad, dx, _ = net.gradients(x, at, size, target, weight)
+        self.step += 1
+        for k, m in self.moments.items():
+            m[0] += 0.1 * (grad[k] - m[0])
+            m[1] += 0.01 * (grad[k] ** 2 - m[1])
+            net.p[k] -= (rate * (m[0] / (1 - 0.9**self.step)) / (np.sqrt(m[1] / (1 - 0.99**self.step)) + 1e-8)).astype(np.float32)
+        dx[:, 0] = dx[:, WIDTH] = 0  # the odds are no parameters
+        # The character gradient goes to the n-gram that gave the maximum.
+        per = np.diff(np.append(sub.first, len(sub.grams)))
+        hit = g >= np.repeat(x[:, WIDTH:], per, axis=0)
+        for k, rows, d in (("word", sub.row, dx[:, :WIDTH]), ("gram", sub.grams, np.repeat(dx[:, WIDTH:], per, axis=0) * hit)):
+            ids, back = np.unique(rows, return_inverse=True)
+            total = np.zeros((len(ids), WIDTH), np.float32)
+            np.add.at(total, back, d)
+            self.squares[k][ids] += (total**2).mean(1)
+            net.p[k][ids] -= 0.02 * total / np.sqrt(self.squares[k][ids])[:, None]
 
 
 class _Sub:
@@ -323,17 +358,19 @@ def _vocabulary(texts: list[str]) -> Vocabulary:
     return Vocabulary(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64))
 
 
-def _calibrate(net: Network, v: Vocabulary, labels: np.ndarray) -> None:
+def _highest(net: Network, v: Vocabulary) -> np.ndarray:
     doc, logit = net.logits(v)
-    z = np.maximum.reduceat(logit, np.searchsorted(doc, np.arange(len(labels)))).astype(np.float64)
+    return np.maximum.reduceat(logit, np.searchsorted(doc, np.arange(len(v.count)))).astype(np.float64)
+
+
+def _calibrate(net: Network, z: np.ndarray, labels: np.ndarray) -> None:
     order = np.argsort(-z)
     hits = np.cumsum(labels[order])
     f1 = 2 * hits / (np.arange(1, len(z) + 1) + labels.sum())
     best = int(np.argmax(f1))
     top = z[order]
     at = (top[best] + top[min(best + 1, len(top) - 1)]) / 2
-    spread = max(1e-3, float(np.std(z)))
-    slope = min(2.0, max(0.5, 4.0 / spread))
+    slope = min(2.0, max(0.5, 4.0 / max(1e-3, float(np.std(z)))))
     net.map = (slope, float(np.log(CUT / (1 - CUT)) - slope * at))
 
 
@@ -361,3 +398,19 @@ def score(docs: DataFrame, net: Network, cut_at: float = CUT, text: str = "text"
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(docs[key].alias("key"), F.lower(docs[text].cast("string"))).mapInArrow(run, f"key {kind}, score double, predicted int").withColumnRenamed("key", key)
+
+
+def drop_toxic(docs: DataFrame, net: Network, cut_at: float = CUT, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is below ``cut_at``, with all their columns; nothing is shuffled."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    told = spark.sparkContext.broadcast(net)
+    n = len(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [told.value.scores(Vocabulary(data, offsets)) < cut_at for _, _, data, offsets in text_chunks(b.column(n), 1 << 20)]
+            if keep:
+                yield b.select(range(n)).filter(pa.array(np.concatenate(keep)))
+
+    return docs.select("*", F.lower(docs[text].cast("string")).alias("__low")).mapInArrow(run, docs.schema)
