@@ -21,7 +21,9 @@ first and is read back as null.  An empty table gives an empty data set.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -38,7 +40,7 @@ END_ID = 1
 #: Tokens in a part at which it is closed.
 PART_TOKENS = 1 << 18
 #: Distinct words whose ids a task remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 _NULL_ID = -(1 << 63)
 
 
@@ -178,39 +180,103 @@ class Part:
 # ------------------------------------------------------------------------------------------------ tokens
 
 
+#: Texts of these characters alone can be split here as the tokenizer's own pattern splits them.
+_LATIN = re.compile("[\\t\\n\\r -~¡-ÿ]*")
+#: Letters, digits and the rest of Latin-1 under the tokenizer's pattern; it drops white space.
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+#: What the tokenizer must be for that: this pattern, lower-casing, one end mark after each piece.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+
+
+class _Known(dict):
+    """Pieces seen so far and their numbers; new ones are remembered in ``new``."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        number = self[piece] = len(self)
+        self.new.append(piece)
+        return number
+
+
 class WordEncoder:
-    """Ids of whole texts under a tokenizer that never joins text across white space.
+    """Ids of whole texts under a tokenizer of lower-cased words.
 
-    Words between spaces and line ends are encoded once a task and remembered.  Whether the tokenizer allows that is
-    checked on loading (its pattern drops white space, and no added token holds any); else texts are encoded whole.
+    Each distinct piece (a word, a digit, a run of signs) is encoded by the library once a task and remembered, and texts
+    are put together from the pieces' ids.  That holds as the tokenizer splits texts into pieces by a pattern, and a piece's
+    ids end with the only one marked as an end; both are checked on loading.  Texts with characters beyond Latin-1, or
+    that may hold a special token, are encoded whole by the library, and so is everything if the check fails.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import json
-
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         told = json.loads(self.tokenizer.to_str())
-        splits = json.dumps(told["pre_tokenizer"])
-        by_word = '"behavior": "Removed", "invert": true' in splits and "[^\\\\s" in splits and told["post_processor"] is None
-        self.by_word = by_word and not any(any(c.isspace() for c in a["content"]) or a["lstrip"] or a["rstrip"] or a["single_word"] for a in told["added_tokens"])
-        self.known: dict[str, list[int]] = {"": []}
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        if not self.by_word:
-            return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        model, split = told["model"], told["pre_tokenizer"]
+        first = (split.get("pretokenizers") or [{}])[0]
+        self.by_piece = (
+            first.get("pattern") == {"Regex": _PATTERN} and first.get("invert") is True and first.get("behavior") == "Removed"
+            and [n["type"] for n in (told["normalizer"] or {}).get("normalizers", [])] == _NORMALIZERS
+            and told["post_processor"] is None and model.get("end_of_word_suffix") == "</w>" and not model.get("unk_token")
+        )
+        self.special = [a["content"] for a in told["added_tokens"]]
+        self.ends = np.zeros(max(model["vocab"].values()) + 1 + len(self.special), bool)
+        self.ends[[i for w, i in model["vocab"].items() if w.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = _Known()
+        self.flat = np.zeros(0, np.uint32)
+        self.first = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _learn(self) -> None:
+        new, self.known.new = self.known.new, []
+        if not new:
+            return
+        ids = self._whole(" ".join(new))
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) == len(new) and ends[-1] == len(ids):
+            size = np.diff(ends, prepend=0)
+        else:
+            each = [self._whole(p) for p in new]
+            ids, size = np.concatenate(each), np.array([len(x) for x in each], np.int64)
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, ids])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > CACHE_WORDS:
-            self.known = {"": []}
-        known = self.known
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(dict.fromkeys(w for ws in split for w in ws if w not in known))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                known[w] = e.ids
-        return [[i for w in ws for i in known[w]] for ws in split]
+            self._forget()
+        out: list[np.ndarray | None] = [None] * len(texts)
+        found = []
+        places, cuts = [], [0]
+        for i, t in enumerate(texts):
+            if not self.by_piece or not _LATIN.fullmatch(t) or any(s in t for s in self.special):
+                out[i] = self._whole(t)
+                continue
+            pieces = _PIECES.findall(t.lower())
+            found.append(np.fromiter(map(self.known.__getitem__, pieces), np.int32, len(pieces)))
+            places.append(i)
+            cuts.append(cuts[-1] + len(pieces))
+        self._learn()
+        at = np.concatenate(found) if found else np.zeros(0, np.int32)
+        size = self.size[at]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.flat[np.arange(total) + np.repeat(self.first[at] - (ends - size), size)]
+        bounds = np.concatenate([[0], ends])[cuts]
+        for i, a, b in zip(places, bounds[:-1], bounds[1:], strict=True):
+            out[i] = ids[a:b]
+        return out
 
 
 _loaded: dict[str, WordEncoder] = {}
@@ -250,14 +316,14 @@ def write_dac(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
             return pa.RecordBatch.from_arrays([pa.array([run], pa.int32()), pa.array([part], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([held], pa.int64()), pa.array([blob], pa.binary())], names=["run", "part", "n_docs", "n_tokens", "payload"])
 
         for b in batches:
-            for at in range(0, b.num_rows, 64):
-                s = b.slice(at, 64)
+            for at in range(0, b.num_rows, 256):
+                s = b.slice(at, 256)
                 for k, x in zip(s.column(1).to_pylist(), enc.encode(s.column(2).to_pylist()), strict=True):
-                    x.append(end_id)
+                    x = np.append(x, np.uint32(end_id))
                     if run is None:
                         run = s.column(0)[0].as_py()
                     keys.append(_NULL_ID if k is None else k)
-                    ids.append(np.array(x, np.uint32))
+                    ids.append(x)
                     held += len(x)
                     if held >= part_tokens:
                         yield close()
