@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, small_batches, text_chunks
+from .common import Words, mix, small_batches, span_hashes, text_chunks
 
-SAMPLE = {0: 3000, 1: 1500}
-FIT_CHARS = 6000
+SAMPLE = {0: 2600, 1: 1300}
+FIT_CHARS = 10_000
 WINDOW = 24
 STRIDE = 16
 HIDDEN = 8
@@ -38,6 +38,8 @@ WORD_ROWS = 1 << 16
 GRAM_ROWS = 1 << 16
 GRAMS = (3, 4, 5)
 EPOCHS = 6
+#: Clean texts are rarer in the sample than among all rows; each stands for so many when the threshold is set.
+CLEAN_WEIGHT = 4
 CUT = 0.3
 _SIGN = np.zeros(256, bool)
 _SIGN[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
@@ -63,12 +65,7 @@ class Vocabulary:
         if not self.words:
             self.order, self.row, self.grams, self.first = np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)
             return
-        head = np.cumsum(size) - size
-        place = np.arange(int(size.sum())) - np.repeat(head, size)
-        chars = words.data[np.repeat(start, size) + place].astype(np.uint64)
-        from .common import powers
-
-        h = mix(np.add.reduceat((chars + np.uint64(1)) * powers(int(size.max()) + 1)[place], head) + size.astype(np.uint64))
+        h = span_hashes(words.data, start, end)
         distinct, one, self.order = np.unique(h, return_index=True, return_inverse=True)
         self.row = (distinct % np.uint64(WORD_ROWS)).astype(np.int64)
         # n-grams of the distinct words, between two marks
@@ -78,7 +75,7 @@ class Vocabulary:
         marked = np.full(int(long.sum()), 1, np.uint64)
         place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
         marked[np.repeat(at, size) + 1 + place] = words.data[np.repeat(first, size) + place]
-        owner = np.repeat(np.arange(len(one)), long)
+        owner = np.repeat(np.arange(len(one), dtype=np.int32), long)
         left = np.repeat(at + long, long) - np.arange(len(marked))  # bytes from here to the word's end
         found, owners = [], []
         for n in GRAMS:
@@ -86,7 +83,7 @@ class Vocabulary:
             g = np.zeros(len(ok), np.uint64)
             for k in range(n):
                 g = g * np.uint64(257) + marked[ok + k]
-            found.append((mix(g * np.uint64(8) + np.uint64(n)) % np.uint64(GRAM_ROWS)).astype(np.int64))
+            found.append((mix(g * np.uint64(8) + np.uint64(n)) % np.uint64(GRAM_ROWS)).astype(np.int32))
             owners.append(owner[ok])
         grams, owners = np.concatenate(found), np.concatenate(owners)
         order = np.argsort(owners, kind="stable")
@@ -126,6 +123,11 @@ class Network:
         top = np.maximum.reduceat(g, v.first, axis=0) if len(v.first) else np.zeros((0, WIDTH), np.float32)
         return np.concatenate([self.p["word"][v.row], top], axis=1), g
 
+    def vectors(self, v: Vocabulary) -> np.ndarray:
+        """``inputs`` without the n-grams, some words at a time."""
+        parts = [self.inputs(_Sub(v, np.arange(at, min(at + 20_000, len(v.row)))))[0] for at in range(0, len(v.row), 20_000)]
+        return np.concatenate(parts) if parts else np.zeros((0, 2 * WIDTH), np.float32)
+
     def forward(self, x: np.ndarray, index: np.ndarray, size: np.ndarray, keep: bool = False):
         """Logits of windows; ``index`` (windows, WINDOW) points into ``x``, -1 after the end of a window."""
         p = self.p
@@ -193,7 +195,7 @@ class Network:
 
     def logits(self, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
         """(text, logit) of every window."""
-        x, _ = self.inputs(v)
+        x = self.vectors(v)
         doc, first, size = windows(v.count)
         out = np.empty(len(doc), np.float32)
         for at in range(0, len(doc), 2048):
@@ -220,25 +222,29 @@ def _index(v: Vocabulary, first: np.ndarray, size: np.ndarray) -> np.ndarray:
 # ------------------------------------------------------------------------------------------------ training
 
 
-def _log_odds(rows: np.ndarray, owner: np.ndarray, toxic: np.ndarray, size: int) -> np.ndarray:
-    """Of a hashed feature's presence in a toxic text against another, drawn to 0 where it was seen little, and 0 below three texts."""
-    pairs = np.unique(owner.astype(np.int64) * size + rows)
-    doc, row = pairs // size, pairs % size
-    a, b = (np.bincount(row[toxic[doc] == y], minlength=size) for y in (1, 0))
-    n1, n0 = max(1, toxic.sum()), max(1, (1 - toxic).sum())
+def _log_odds(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Of a feature's presence in a toxic text against another, drawn to 0 where it was seen little, and 0 below three texts."""
     odds = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))
     return np.where(a + b < 3, 0, np.clip(odds, -4, 4) * (a + b) / (a + b + 4)).astype(np.float32)
 
 
-def _odds(v: Vocabulary, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The log odds of all word rows and of all n-gram rows."""
-    owner = np.repeat(np.arange(len(y)), v.count)
-    per = np.diff(np.append(v.first, len(v.grams)))
-    used = np.unique(owner * max(1, len(v.row)) + v.order)  # distinct words of each text
-    o, w = used // max(1, len(v.row)), used % max(1, len(v.row))
-    rep = per[w]
-    gram = v.grams[np.repeat(v.first[w], rep) + np.arange(int(rep.sum())) - np.repeat(np.cumsum(rep) - rep, rep)]
-    return _log_odds(v.row[w], o, y, WORD_ROWS), _log_odds(gram, np.repeat(o, rep), y, GRAM_ROWS)
+def _presence(v: Vocabulary, y: np.ndarray) -> list[np.ndarray]:
+    """Texts of label 1 and of label 0 that hold each word row, and each n-gram row."""
+    out = [np.zeros(n, np.int64) for n in (WORD_ROWS, WORD_ROWS, GRAM_ROWS, GRAM_ROWS)]
+    ends = np.cumsum(v.count)
+    for d, (e, n) in enumerate(zip(ends, v.count, strict=True)):
+        if n:
+            words = np.unique(v.order[e - n : e])
+            k = 0 if y[d] == 1 else 1
+            out[k][np.unique(v.row[words])] += 1
+            out[2 + k][np.unique(_Sub(v, words).grams)] += 1
+    return out
+
+
+def _odds(counts: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n1 = max(1, int(y.sum()))
+    n0 = max(1, len(y) - n1)
+    return _log_odds(counts[0], counts[1], n1, n0), _log_odds(counts[2], counts[3], n1, n0)
 
 
 def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 2) -> Network:
@@ -252,9 +258,9 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     halves = [np.sort(np.concatenate(halves[:2])), np.sort(np.concatenate(halves[2:]))]
     halves = [x for x in halves if len(x)] or [order]
     parts = [(_vocabulary([texts[i] for i in x]), labels[x].astype(np.int64)) for x in halves]
-    odds = [_odds(v, y) for v, y in parts]
-    whole = np.concatenate(halves)
-    all_odds = _odds(_vocabulary([texts[i] for i in whole]), labels[whole].astype(np.int64))
+    counts = [_presence(v, y) for v, y in parts]
+    odds = [_odds(c, y) for c, (_, y) in zip(counts, parts, strict=True)]
+    all_odds = _odds([sum(x) for x in zip(*counts, strict=True)], np.concatenate([y for _, y in parts]))
 
     def use_odds(which: tuple[np.ndarray, np.ndarray]) -> None:
         net.p["word"][:, 0], net.p["gram"][:, 0] = which
@@ -299,7 +305,7 @@ class _Trainer:
         if number:
             _, top = net.logits(v)
         else:  # by the odds alone
-            x, _ = net.inputs(v)
+            x = net.vectors(v)
             known = np.append(np.clip(x[:, 0], 0, None) + np.clip(x[:, WIDTH], 0, None), 0)
             top = np.concatenate([np.sort(known[_index(v, first[i : i + 4096], size[i : i + 4096])], axis=1)[:, -2:].sum(1) for i in range(0, len(doc), 4096)])
         best = np.array([s + int(np.argmax(top[s:e])) for s, e in zip(starts, ends, strict=True)])
@@ -366,10 +372,11 @@ def _highest(net: Network, v: Vocabulary) -> np.ndarray:
 def _calibrate(net: Network, z: np.ndarray, labels: np.ndarray) -> None:
     order = np.argsort(-z)
     hits = np.cumsum(labels[order])
-    f1 = 2 * hits / (np.arange(1, len(z) + 1) + labels.sum())
+    wrong = np.arange(1, len(z) + 1) - hits
+    f1 = 2 * hits / (hits + CLEAN_WEIGHT * wrong + labels.sum())
     best = int(np.argmax(f1))
     top = z[order]
-    at = (top[best] + top[min(best + 1, len(top) - 1)]) / 2
+    at = 0.85 * top[best] + 0.15 * top[min(best + 1, len(top) - 1)]
     slope = min(2.0, max(0.5, 4.0 / max(1e-3, float(np.std(z)))))
     net.map = (slope, float(np.log(CUT / (1 - CUT)) - slope * at))
 
@@ -392,7 +399,7 @@ def score(docs: DataFrame, net: Network, cut_at: float = CUT, text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, data, offsets in text_chunks(b.column(1), 1 << 20):
+            for i, j, data, offsets in text_chunks(b.column(1)):
                 s = told.value.scores(Vocabulary(data, offsets))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(s), pa.array((s >= cut_at).astype(np.int32))], names=["key", "score", "predicted"])
 
@@ -409,7 +416,7 @@ def drop_toxic(docs: DataFrame, net: Network, cut_at: float = CUT, text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = [told.value.scores(Vocabulary(data, offsets)) < cut_at for _, _, data, offsets in text_chunks(b.column(n), 1 << 20)]
+            keep = [told.value.scores(Vocabulary(data, offsets)) < cut_at for _, _, data, offsets in text_chunks(b.column(n))]
             if keep:
                 yield b.select(range(n)).filter(pa.array(np.concatenate(keep)))
 
