@@ -15,7 +15,11 @@ from pyspark.sql import functions as F
 #: What separates words: the space and the controls from tab to carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 #: Bytes of text that one numpy step works on at most, a single longer text aside.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 18
+#: Bytes that one running sum spans at most, a longer word aside.
+SUM_BYTES = 1 << 19
+#: Narrow rows in a checkpoint file, at least, where their number is known.
+ROWS_A_FILE = 100_000
 #: Rows in an Arrow batch handed to Python; long texts make larger ones too costly.
 ARROW_ROWS = 1024
 
@@ -35,9 +39,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared checkpoint folder, without its lineage."""
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` computed once into the shared checkpoint folder, without its lineage.
+
+    Where the number of rows is known, they are written as so many files as they need: a file costs more than a few rows.
+    """
     shared_dir(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     return df.checkpoint(eager=True)
 
 
@@ -114,16 +123,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_POWERS = np.ones(1, np.uint64)
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 
 
-def powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        _POWERS = np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(n, 2 * len(_POWERS)), _ODD, np.uint64))])
+def powers(n: int) -> list[np.ndarray]:
+    """The first n powers of an odd number and of its inverse, modulo 2**64."""
+    if len(_POWERS[0]) < n:
+        size = max(n, 2 * len(_POWERS[0]))
+        for k, base in enumerate((_ODD, _INVERSE)):
+            _POWERS[k] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, base, np.uint64)]), dtype=np.uint64)
     return _POWERS
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of ``data``, in order: a polynomial from one running sum, brought to the span's own place."""
+    out = np.empty(len(start), np.uint64)
+    first = 0
+    while first < len(start):  # in blocks, so that the sums stay small
+        last = max(first + 1, int(np.searchsorted(end, start[first] + SUM_BYTES, side="right")))
+        base, n = start[first], int(end[last - 1] - start[first])
+        forth, back = powers(n + 1)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum((data[base : base + n].astype(np.uint64) + np.uint64(1)) * forth[:n], out=total[1:])
+        s, e = start[first:last] - base, end[first:last] - base
+        out[first:last] = mix((total[e] - total[s]) * back[s] + (e - s).astype(np.uint64) * _ODD)
+        first = last
+    return out
+
+
 class Words:
     """The words of some texts: ``start``/``end`` into ``data``, the text of each, and a 64-bit hash of each."""
 
@@ -144,19 +172,13 @@ class Words:
         after &= ~first[1:]
         self.start = np.flatnonzero(word & ~before)
         self.end = np.flatnonzero(word & ~after) + 1
-        self.doc = np.searchsorted(offsets, self.start, side="right") - 1
+        marks = np.zeros(len(data) + 1, np.int32)
+        np.add.at(marks, offsets[1:-1], 1)
+        self.doc = np.cumsum(marks[:-1])[self.start]
         self.count = np.bincount(self.doc, minlength=self.docs)
-        self.word = word
 
     def hashes(self) -> np.ndarray:
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        size = self.end - self.start
-        at = np.flatnonzero(self.word)
-        head = np.concatenate([[0], np.cumsum(size)[:-1]])
-        place = np.arange(len(at)) - np.repeat(head, size)
-        terms = (self.data[at].astype(np.uint64) + np.uint64(1)) * powers(int(size.max()) + 1)[place]
-        return mix(np.add.reduceat(terms, head) + size.astype(np.uint64) * _ODD)
+        return span_hashes(self.data, self.start, self.end)
 
 
 def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, powers, small_batches
+from .common import cut, mix, small_batches, span_hashes
 
 WINDOW = 8
 LITERALS = 4
@@ -40,7 +40,7 @@ RUN_TOKENS = 13
 COVER = 0.5
 #: Windows of the benchmark that one pass over the documents looks up (16 bytes each when broadcast).
 BLOCK_ITEMS = 1 << 20
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
 
 # Words that stand for numbers, and units.
 NUMBER_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "twenty", "thirty", "forty", "fifty", "hundred", "thousand", "million")
@@ -102,12 +102,7 @@ class Tokens:
         self.start, self.end = start, end = start[use], end[use]
         self.doc = np.searchsorted(offsets, start, side="right") - 1
         size = end - start
-        head = np.cumsum(size) - size
-        total = int(size.sum())
-        chars = np.arange(total) - np.repeat(head, size)
-        where = np.repeat(start, size) + chars
-        terms = (low[inside[where]].astype(np.uint64) + np.uint64(1)) * powers(int(size.max(initial=0)) + 1)[chars]
-        self.value = mix(np.add.reduceat(terms, head) + size.astype(np.uint64)) if len(start) else np.zeros(0, np.uint64)
+        self.value = span_hashes(low[inside], start, end)
         if not typed:
             return
         kind = np.where(digit[start], NUMBER, LITERAL) if len(start) else np.zeros(0, np.int64)

@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
+def _settled(es: DataFrame) -> bool:
+    """Whether each node is tied to one other at most, which itself is tied to none."""
+    ties = es.groupBy("u").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("v"))
+    if ties.filter("c > 1").limit(1).count():
+        return False
+    return not es.join(es.select(F.col("v").alias("u")).distinct().hint("merge"), "u", "left_semi").limit(1).count()
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``node`` and ``root`` (the least node of its component) for all nodes of ``edges`` (a, b).
 
@@ -18,8 +26,10 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     before the shuffle and joined back by sort-merge joins, which Spark splits where one node has most of the edges.
     """
     es = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    state = None
+    n = es.count()
     for _ in range(rounds):
+        if _settled(es):
+            break
         both = es.union(es.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # Large star: the larger neighbours of u go to its least neighbour.
@@ -28,11 +38,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # Small star: u and its smaller neighbours go to the least of them.
         low = big.groupBy("u").agg(F.min("v").alias("m"))
         small = big.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        es = cut(small.filter("u <> v").distinct())
-        now = es.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if state == (now["n"], now["s"]):
-            break
-        state = (now["n"], now["s"])
+        es = cut(small.filter("u <> v").distinct(), n)
+        n = es.count()
     else:
         raise RuntimeError(f"components not settled after {rounds} rounds")
     stars = es.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -58,15 +65,19 @@ def candidate_components(entries: DataFrame, may: Callable[[Column, Column], Col
     pick = F.min(F.struct("last", F.xxhash64("node", "key").alias("h"), F.col("node").alias("pivot"), F.col("info").alias("about")))
     pivots = entries.groupBy("key").agg(pick.alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "p.pivot", "p.about")
     tied = entries.join(pivots.hint("merge"), "key").filter((F.col("node") != F.col("pivot")) & may(F.col("info"), F.col("about")))
-    edges = cut(verified(_tops(tied.select(F.col("node").alias("a"), F.col("pivot").alias("b")), first_pairs)))
+    edges = verified(_tops(tied.select(F.col("node").alias("a"), F.col("pivot").alias("b")), first_pairs))
     known = connected_components(edges)
     placed = entries.join(known.hint("merge"), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
-    rest = cut(placed.join(open_keys.hint("merge"), "key").select("key", "node", "info", "comp"))
+    rest = placed.join(open_keys.hint("merge"), "key").select("key", "node", "info", "comp")
     x, y = rest.alias("x"), rest.alias("y").hint("merge")
     meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & may(F.col("x.info"), F.col("y.info"))
     if told is not None:
         meet &= ~F.coalesce(told(F.col("x.info"), F.col("y.info")), F.lit(False))
-    pairs = cut(x.join(y, meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
-    more = verified(pairs)
-    return connected_components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    pairs = x.join(y, meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    # New links tie components, so only their roots need another search.
+    of = lambda name: known.select(F.col("node").alias(name), F.col("root").alias(f"r{name}")).hint("merge")
+    tied = verified(pairs).join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    over = connected_components(tied).select(F.col("node").alias("mid"), F.col("root").alias("top"))
+    first = known.select("node", F.col("root").alias("mid")).union(over.select(F.col("mid").alias("node"), "mid")).distinct()
+    return first.join(over.hint("merge"), "mid", "left").select("node", F.coalesce("top", "mid").alias("root")).groupBy("node").agg(F.min("root").alias("root"))

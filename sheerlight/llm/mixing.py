@@ -50,7 +50,7 @@ def targets(sizes: DataFrame, share: float = SHARE, most: float = MOST, weights:
     """
     ranked = running(sizes, [F.col("source").asc_nulls_last()], {"source_start": "source_size"})
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("_pos") % len(weights) + 1).cast("int"))
-    ranked = cut(ranked.withColumn("weight", w).withColumnRenamed("_pos", "source_rank"))
+    ranked = ranked.withColumn("weight", w).withColumnRenamed("_pos", "source_rank").persist()
     cap = F.col("source_size") * F.lit(most)
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
     level = 0.0
@@ -80,7 +80,7 @@ def plan_mix(docs: DataFrame, share: float, most: float, weights: tuple[int, ...
     rows = cut(docs.select(docs[key].alias("key"), docs[source].cast("string").alias("source"), word_count(whole).alias("size"), order.alias("order"), hashed.alias("tie")))
     level = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights)
     placed = running(rows, [F.col("source").asc_nulls_last(), F.col("order"), F.col("tie"), F.col("key").asc_nulls_last()], {"before": "size"})
-    level = cut(level.select(F.col("source").alias("s"), "source_size", "target", "source_start"))
+    level = level.select(F.col("source").alias("s"), "source_size", "target", "source_start").persist()
     few = level.count() <= MOST_BROADCAST
     held = placed.join(F.broadcast(level) if few else level.hint("merge"), placed["source"].eqNullSafe(level["s"]))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -106,7 +106,7 @@ def take_mix(docs: DataFrame, share: float = SHARE, most: float = MOST, weights:
     """
     chosen = cut(plan_mix(docs, share, most, weights, seed, text, key, source))
     last = chosen.groupBy("source").agg(F.max("epochs").alias("epochs"), F.max(F.when(F.col("fraction") == 1, F.struct("order", "tie"))).alias("last")).select(F.col("source").alias("__source"), F.col("epochs").alias("__epochs"), F.col("last").alias("__last"))
-    last = cut(last)
+    last = last.persist()
     few = last.count() <= MOST_BROADCAST
     hashed, order = _order(docs[key], text_of(docs[text]), seed)
     placed = docs.join(F.broadcast(last) if few else last.hint("merge"), docs[source].cast("string").eqNullSafe(F.col("__source")))

@@ -13,10 +13,11 @@ link when 100 * intersection >= PERCENT * union.  No link between different sets
    found by scanning the inverted lists of their first ``... + 1`` shingles, which light sets that could have a heavy
    partner probe too.  The size that parts light from heavy has the least sum of subsets and list scans, from the candidates' own
    sizes and frequencies.
-4. First, each list ties its sets to one of them, chosen by hash, which makes as many pairs as list entries; the pairs met most often
+4. First, each list ties its sets to one of them, which makes as many pairs as list entries; the pairs met most often
    are verified against the whole sets and joined to components.  Then every pair of one list that is not in one
-   component yet is verified.  A group of thousands of copies thus costs few tests a member, and what could still join
-   two components is tested in full.
+   component yet is verified, unless the place in the order, the sizes or the parity bits of both sets prove that it
+   cannot link.  A group of thousands of copies thus costs few tests a member, and what could still join two
+   components is tested in full.
 
 Sets are verified by their shared shingles: a shingle of only one set is in no intersection.  A shingle is known by 56 bits of its
 hash, so a pair of sets of a thousand shingles is misjudged with a chance of about one in 10^11.
@@ -35,16 +36,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, cut, mix, shuffle_parts, small_batches, text_chunks
-from .graph import connected_components
+from .graph import candidate_components
 
 SHINGLE = 5
 PERCENT = 75
 #: Shingles a task packs before it hands them on.
-PACK_TOKENS = 1 << 21
+PACK_TOKENS = 1 << 20
 #: Sets of more shingles than this are heavy whatever the costs.
 LIGHT_MOST = 64
 #: Pairs of each set that are verified first.
 FIRST_PAIRS = 3
+#: Longs of parity bits of a set.
+PARITY_WORDS = 4
 _WEIGHTS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 _TOKEN = np.uint64((1 << 48) - 1)
 
@@ -205,20 +208,46 @@ def light_limit(cand: DataFrame, percent: int = PERCENT, most: int = LIGHT_MOST)
 
 
 def list_entries(cand: DataFrame, limit: int, percent: int = PERCENT) -> DataFrame:
-    """The lists: key, digest, n, ``side`` (0 a light set's subset, 1 a light set's probe, 2 a heavy set), ``prev`` (the key before)."""
+    """The lists: key, node, ``last`` (sets with fewer shingles of their own are preferred to tie a list), and ``info``:
+
+    n, ``side`` (0 a light set's subset, 1 a light set's probe, 2 a heavy set), ``prev`` (the key before), ``left`` (shingles from
+    this place on, in the order; for a subset from the place before its second one), ``own`` (shingles of no other set)
+    and ``b0`` to ``b3``, the parity bits of the others.
+    """
     s, need = F.size("shared"), required(F.col("n"), percent)
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
+    word = lambda k: F.aggregate("shared", F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(F.when(F.shiftright(t, 6).bitwiseAND(F.lit(3)) == k, bit(t)).otherwise(F.lit(0).cast("long"))))
+    cand = cand.withColumn("own", F.col("n") - s).withColumns({f"b{k}": word(k) for k in range(PARITY_WORDS)})
     first = F.slice("shared", 1, s - need + 1)
     two = F.slice("shared", 1, s - need + 2)
-    subsets = F.flatten(F.transform(two, lambda x, i: F.transform(F.slice(two, i + 2, F.greatest(F.size(two) - i - 1, F.lit(0))), lambda y: F.struct(F.xxhash64(x, y).alias("key"), F.lit(None).cast("long").alias("prev")))))
-    single = F.transform(first, lambda x, i: F.struct(x.alias("key"), F.when(i > 0, F.element_at(first, i)).alias("prev")))
-    light = cand.filter(F.col("n") <= limit).select("digest", "n", F.lit(0).alias("side"), F.explode(subsets).alias("e"))
-    probe = cand.filter((F.col("n") <= limit) & (F.col("n") * 100 >= limit * percent)).select("digest", "n", F.lit(1).alias("side"), F.explode(single).alias("e"))
-    heavy = cand.filter(F.col("n") > limit).select("digest", "n", F.lit(2).alias("side"), F.explode(single).alias("e"))
-    return light.union(probe).union(heavy).select("e.key", "digest", "n", "side", "e.prev")
+    entry = lambda key, prev, left, side: F.struct(key.alias("key"), prev.alias("prev"), left.cast("long").alias("left"), F.lit(side).alias("side"))
+    no_prev = F.lit(None).cast("long")
+    subsets = F.flatten(F.transform(two, lambda x, i: F.transform(F.slice(two, i + 2, F.greatest(F.size(two) - i - 1, F.lit(0))), lambda y, j: entry(F.xxhash64(x, y), no_prev, s - i - j, 0))))
+    single = lambda side: F.transform(first, lambda x, i: entry(x, F.when(i > 0, F.element_at(first, i)), s - i, side))
+    probed = F.col("n") * 100 >= limit * percent
+    whole = cand.withColumn("e", F.explode(F.when(F.col("n") > limit, single(2)).when(probed, F.concat(subsets, single(1))).otherwise(subsets)))
+    info = F.struct("n", "e.side", "e.prev", "e.left", "own", *[f"b{k}" for k in range(PARITY_WORDS)])
+    return whole.select("e.key", F.col("digest").alias("node"), (F.floor(F.col("own") * 20 / F.col("n")) - 100 * F.col("e.side")).cast("int").alias("last"), info.alias("info"))
+
+
+def _may_link(x: Column, y: Column, percent: int) -> Column:
+    """False only for pairs of a list that don't link, or that meet in another list too.
+
+    Two linked sets share ``o`` shingles at least.  At the first one they share, both have ``o`` left.  They differ in n + m - 2 o
+    at most: in all that is their own, and in one shingle at least for each parity bit that differs.
+    """
+    n, m = x["n"], y["n"]
+    o = F.ceil((n + m) * percent / F.lit(100.0 + percent) - F.lit(1e-9))
+    differ = x["own"] + y["own"]
+    for k in range(PARITY_WORDS):
+        differ = differ + F.bit_count(x[f"b{k}"].bitwiseXOR(y[f"b{k}"]))
+    sides = ((x["side"] == 0) & (y["side"] == 0)) | ((x["side"] != 0) & (y["side"] != 0) & (x["side"] + y["side"] > 2))
+    return sides & (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(x["left"], y["left"]) >= o) & (differ <= n + m - 2 * o)
 
 
-def _may_link(n: Column, m: Column, percent: int) -> Column:
-    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+def _told(x: Column, y: Column) -> Column:
+    """The list before has given this pair: the shingle before is in both sets' first ones."""
+    return (x["prev"] == y["prev"]) & (x["side"] + y["side"] > 2)
 
 
 def _verified(pairs: DataFrame, cand: DataFrame, percent: int) -> DataFrame:
@@ -232,27 +261,9 @@ def _verified(pairs: DataFrame, cand: DataFrame, percent: int) -> DataFrame:
 def set_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, text: str = "text") -> DataFrame:
     """digest and root of each set that links with another."""
     cand = candidates(docs, size, percent, text)
-    limit = light_limit(cand, percent)
-    entries = cut(list_entries(cand, limit, percent))
-    pivots = entries.groupBy("key").agg(F.min(F.struct((-F.col("side")).alias("s"), F.xxhash64("digest", "key").alias("h"), F.col("digest").alias("pivot"), F.col("n").alias("m"))).alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "p.pivot", "p.m", (-F.col("p.s")).alias("ps"))
-    tied = entries.join(pivots.hint("merge"), "key").filter((F.col("digest") != F.col("pivot")) & ((F.col("ps") == 2) | (F.col("side") == 0)) & _may_link(F.col("n"), F.col("m"), percent))
-    often = tied.groupBy(F.col("digest").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    first = often.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "b")), asc=False), 1, FIRST_PAIRS).alias("top"))  # as many as a set's first shingles at most
-    tested = first.select("a", F.explode("top.b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges = cut(_verified(tested, cand, percent))
-    known = connected_components(edges).select(F.col("node").alias("digest"), "root")
-    placed = entries.join(known.hint("merge"), "digest", "left").withColumn("comp", F.coalesce("root", "digest")).drop("root")
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
-    rest = cut(placed.join(open_keys.hint("merge"), "key"))
-    x, y = rest.alias("x"), rest.alias("y").hint("merge")
-    c = lambda name: F.col(f"x.{name}") != F.col(f"y.{name}")
-    meets = ((F.col("x.side") == 0) & (F.col("y.side") == 0)) | (F.col("x.side") == 2) | (F.col("y.side") == 2)
-    told = (F.col("x.prev") == F.col("y.prev")) & (F.col("x.side") + F.col("y.side") > 2)  # the key before has given this pair
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.digest") < F.col("y.digest")) & c("comp") & meets & ~F.coalesce(told, F.lit(False)) & _may_link(F.col("x.n"), F.col("y.n"), percent))
-    pairs = cut(pairs.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct())
-    more = cut(_verified(pairs, cand, percent))
-    links = known.select(F.col("digest").alias("a"), F.col("root").alias("b")).union(more)
-    return connected_components(links).select(F.col("node").alias("digest"), "root")
+    entries = cut(list_entries(cand, light_limit(cand, percent), percent))
+    found = candidate_components(entries, lambda x, y: _may_link(x, y, percent), lambda pairs: _verified(pairs, cand, percent), FIRST_PAIRS, _told)
+    return found.select(F.col("node").alias("digest"), "root")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -263,3 +274,16 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     least = placed.filter("n > 0").groupBy("root").agg(F.min("key").alias("component_id"))
     out = placed.join(least.hint("merge"), "root", "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row of each group of linked documents, that of the smallest key, with all its columns.
+
+    Rows without words stay.  Of rows with one key, each of which is in a group, those stay whose key is the group's; rows equal
+    in key and text are one.
+    """
+    found = near_duplicates(docs, size, percent, text, key)
+    held = cut(found.groupBy(F.col(key).alias("__key")).agg(F.min(F.col("component_id").eqNullSafe(F.col(key))).alias("__stay"), F.count(F.lit(1)).alias("__n")))
+    more = held.agg(F.max("__n")).first()[0] or 0
+    out = docs.join(held.filter("__stay").hint("merge"), docs[key].cast("long").eqNullSafe(F.col("__key")), "left_semi")
+    return out.dropDuplicates([key, text]) if more > 1 else out
