@@ -5,6 +5,8 @@ The same pattern notation is rendered for Spark (Java regular expressions) and f
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -109,5 +111,25 @@ def raw_offset(text: Column, removed: str, at: Column) -> Column:
 
 
 def class_of(points: list[int]) -> str:
-    """A character class of code points."""
-    return "[" + "".join(f"\\x{{{p:x}}}" for p in points) + "]"
+    """A character class of code points, neighbours as ranges."""
+    out, points = [], sorted(points)
+    first = last = None
+    for p in [*points, None]:
+        if last is not None and p == last + 1:
+            last = p
+            continue
+        if last is not None:
+            out.append(f"\\x{{{first:x}}}" + (f"-\\x{{{last:x}}}" if last > first else ""))
+        first = last = p
+    return "[" + "".join(out) + "]"
+
+
+def keyword(pattern: str) -> str | None:
+    """The longest word that every match of a pattern of ``values`` holds, if the pattern has one outside its groups."""
+    out, depth = "", 0
+    for c in pattern:
+        depth += (c == "(") - (c == ")")
+        out += " " if depth or c == ")" else c
+    out = re.sub(r"\{[^}]*\}", " ", out)
+    words = re.findall("[a-z]{3,}", re.sub(r"[a-zA-Z]\?", " ", out))
+    return max(words, key=len) if words else None

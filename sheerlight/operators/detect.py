@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..functions.normalise import DROPPED_CLASS, NEAR_ODD, REMOVED_CLASS, beyond_ascii, deobfuscate, strip_invisible
-from ..functions.text import any_of, class_of, cut, java, located, raw_offset, readable, units
+from ..functions.text import any_of, class_of, cut, java, keyword, located, raw_offset, readable, units
 
 FIELDS = {
     "type": "string", "severity": "string", "index": "int", "code_point": "int", "hex": "string", "name": "string", "sample": "string", "decoded": "string",
@@ -49,7 +49,7 @@ def invisible(text: Column) -> Column:
     spoken = "".join(chr(0xE0000 + i) for i in range(0x20, 0x7F))
     tags = F.array_join(F.regexp_extract_all(text, F.lit(r"[\x{e0020}-\x{e007e}]+"), F.lit(0)), "")
     message = F.when(tags != "", F.translate(tags, spoken, "".join(chr(i) for i in range(0x20, 0x7F))))
-    hits = located(text, REMOVED_CLASS)
+    hits = located(text, f"(?=[^\\x00-\\x7f]){REMOVED_CLASS}")
     first_tag = F.array_min(F.transform(F.filter(hits, lambda h: h["hit"] >= chr(0xE0000)), lambda h: h["at"]))
 
     def one(h: Column) -> Column:
@@ -66,7 +66,7 @@ def invisible(text: Column) -> Column:
             decoded=F.when(tag & (h["at"] == first_tag), message),
         )
 
-    return when_seen(text, REMOVED_CLASS, F.transform(hits, one))
+    return F.when(beyond_ascii(text) & text.rlike(NEAR_ODD), F.transform(hits, one)).otherwise(none())
 
 
 def _payload(kind: str, hits: Column, decode: Callable[[Column], Column], length: Callable[[Column], Column]) -> Column:
@@ -216,13 +216,20 @@ def html_entities(text: Column) -> Column:
 
 
 def _first_matches(kind: str, level: str, text: Column, patterns: dict[str, str], normalized: bool = False) -> Column:
-    """A finding for the first match of each pattern."""
-    found = []
-    for name, p in patterns.items():
+    """A finding for the first match of each pattern.
+
+    One pattern made of all of them spares most texts the rest; in the others, a word that a pattern needs is looked for first.
+    """
+    more = {"normalized": F.lit(True)} if normalized else {}
+
+    def one(name: str, p: str, low: Column) -> Column:
         at = F.regexp_instr(text, F.lit(java(p)))
-        parts = {"normalized": F.lit(True)} if normalized else {}
-        found.append(F.when(at > 0, finding(type=F.lit(kind), severity=F.lit(level), index=at - 1, match=cut(F.regexp_extract(text, java(p), 0), V.MATCH_CUT), pattern=F.lit(name), **parts)))
-    return when_seen(text, any_of(list(patterns.values())), F.filter(F.array(*found), lambda f: f.isNotNull()))
+        found = F.when(at > 0, finding(type=F.lit(kind), severity=F.lit(level), index=at - 1, match=cut(F.regexp_extract(text, java(p), 0), V.MATCH_CUT), pattern=F.lit(name), **more))
+        needed = keyword(p)
+        return F.when(F.contains(low, F.lit(needed)), found) if needed else found
+
+    each = lambda low: F.filter(F.array(*[one(n, p, low) for n, p in patterns.items()]), lambda f: f.isNotNull())
+    return when_seen(text, any_of(list(patterns.values())), F.element_at(F.transform(F.array(F.lower(text)), each), 1))
 
 
 def instructions(text: Column) -> Column:

@@ -18,6 +18,8 @@ from .dom import Node, parse, roots, scope
 
 NODES = "array<struct<root:int,pass:int,ord:int,kind:string,element:int,tag:string,attr_name:string,text:string>>"
 HIDDEN = "array<struct<root:int,ord:int,element:int,tag:string,reasons:array<string>,likely_a11y:boolean,text:string>>"
+#: Without one of these words a page has no style that hides text.
+STYLED = "(?i)font-size|opacity|position|text-indent|transform|clip|color|background"
 #: Addresses that can't be scanned.
 UNSCANNABLE = "^(?:about:|moz-extension:)"
 
@@ -135,6 +137,7 @@ def page_hidden(pages: DataFrame, hits: DataFrame | None = None, mask_revealed:
                     out.append([])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, made)], names=[key, "hidden"])
 
+    rows = rows.filter(F.col(html).rlike(STYLED))  # other pages have nothing to hide text with
     return rows.mapInArrow(run, f"`{key}` {kind}, hidden {HIDDEN}").select(key, F.explode("hidden").alias("h")).select(key, "h.*")
 
 
