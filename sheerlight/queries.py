@@ -216,7 +216,18 @@ def encoded_base64(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(documents(spark, sf_dir, BLOBS), detect.base64(F.col("text")), "sample", "decoded")
 
 
-@query()
+_HEAD, _BODY = JWT.split(".")[:2]
+_READ = TOKENS_JWT[1].split()[1]
+_cut = lambda x: x[:32] + ("…" if len(x) > 32 else "")
+_JWT_ROWS = [(0, 7, _cut(_HEAD), "low", True), (0, 8 + len(_HEAD), _cut(_BODY), "low", True), (1, 6, _cut(_READ), "medium", None), (2, 7, _cut(_HEAD), "medium", None), (2, 8 + len(_HEAD), _cut(_BODY), "medium", None)]
+_JWT_VALUES = ", ".join(f"({k}, {at}, {quoted(x)}, {quoted(level)}, {'true' if like else 'NULL::BOOLEAN'})" for k, at, x, level, like in _JWT_ROWS)
+
+
+#: A dotted triple that stands before a token, within its window, is the one that counts.
+_SPOILT = f"regexp_matches(right(text, {V.JWT_WINDOW - 1} - off), '[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+')"
+
+
+@query(f"WITH e(k, off, sample, level, likely) AS (VALUES {_JWT_VALUES}) SELECT doc_id, sample, CASE WHEN {_SPOILT} THEN 'medium' ELSE level END AS severity, CASE WHEN {_SPOILT} THEN NULL ELSE likely END AS likely_jwt, {units_sql('text')} + 1 + off AS at FROM documents JOIN e ON doc_id % {len(TOKENS_JWT)} = k")
 def jwt_downgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(documents(spark, sf_dir, TOKENS_JWT), detect.base64(F.col("text")), "sample", "severity", "likely_jwt", "index")
 
@@ -265,10 +276,13 @@ def deobfuscate_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir, DISGUISED + TAGS).select("doc_id", F.md5(F.encode(normalise.plain_letters(F.col("text")), "UTF-8")).alias("plain"))
 
 
-SCRAMBLES = ["ignroe all prevoius text", "Ignroe the sytsem", "FIRTEL me", "ignore nothing", "plain"]
+SCRAMBLES = ["ignroe all prevoius text", "Ignroe the sytsem", "FITLER me", "ignore nothing", "plain"]
 
 
-@query()
+REPAIRED = ["ignore all previous text", "Ignore the system", "Filter me", "ignore nothing", "plain"]
+
+
+@query(f"WITH s AS ({planted_sql('documents', REPAIRED, 'doc_id')}) SELECT doc_id, list_extract(string_split_regex(text, '[.] |\n'), -1) AS tail FROM s")
 def typoglycemia_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir, SCRAMBLES)
     return d.select("doc_id", F.element_at(F.split(normalise.repair_words(F.col("text")), "[.] |\n"), -1).alias("tail"))
