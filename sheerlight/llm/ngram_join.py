@@ -5,8 +5,10 @@ document's set holds its distinct shingles of ``SHINGLE`` words (with fewer word
 link when 100 * intersection >= PERCENT * union.  No link between different sets is lost:
 
 1. Equal sets are one set, named by a 64-bit digest.  Every shingle goes, packed by bucket, to the bucket of its hash, where its
-   document frequency is counted; only shingles of two sets or more come back.  A set stays a candidate if enough of
-   its shingles did, as any partner shares that many.
+   document frequency is counted; only shingles of two sets or more come back.  A shingle that a task meets in ``HOT`` sets of
+   one pack is known to be frequent there already: its bucket gets one mark instead of its sets, and the sets keep it
+   without asking.  A mark makes a shingle count as frequent for all sets.  A set stays a candidate if enough of its
+   shingles came back, as any partner shares that many.
 2. Shingles are ordered by frequency (rarest first), then by hash.  Two linked sets share at least ``required(n)`` shingles,
    so they share one among the first ``n - required + 1`` of each and two among the first ``n - required + 2``.
 3. Small (light) sets put forward each pair of their first ``... + 2`` shingles as a fixed-size subset; large (heavy) sets are
@@ -42,6 +44,9 @@ SHINGLE = 5
 PERCENT = 75
 #: Shingles a task packs before it hands them on.
 PACK_TOKENS = 1 << 20
+#: Sets of one pack that make a shingle hot.
+HOT = 48
+_MOST = np.uint64(127)
 #: Sets of more shingles than this are heavy whatever the costs.
 LIGHT_MOST = 64
 #: Pairs of each set that are verified first.
@@ -103,19 +108,36 @@ def _packed(docs: DataFrame, buckets: int, size: int, text: str) -> DataFrame:
         held: list[tuple[np.ndarray, ...]] = []
         tokens = 0
 
+        def sets(at: np.ndarray, owner: np.ndarray, digest: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+            own, count = np.unique(owner[at], return_counts=True)
+            return [np.array([len(own)], np.uint64), digest[own], n[own].astype(np.uint32), count.astype(np.uint32)]
+
         def flush() -> pa.RecordBatch:
             owner, token, digest, n = (np.concatenate(x) for x in zip(*held, strict=True))
             bucket = ((token >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            distinct, one, back, times = np.unique(token, return_index=True, return_inverse=True, return_counts=True)
+            marks, marked = distinct[times >= HOT], bucket[one[times >= HOT]]
+            hot = (times >= HOT)[back]
             which, blobs = [], []
+            cold = np.flatnonzero(~hot)
+            order = cold[np.argsort(bucket[cold], kind="stable")]
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for k in range(buckets):
-                at = order[edges[k] : edges[k + 1]]
-                if len(at):
-                    own, count = np.unique(owner[at], return_counts=True)
+                at, own_marks = order[edges[k] : edges[k + 1]], marks[marked == k] & _TOKEN if len(marks) else marks
+                if len(at) or len(own_marks):
                     t = token[at] & _TOKEN
                     which.append(k)
-                    blobs.append(b"".join(x.tobytes() for x in (np.array([len(own)], np.uint64), digest[own], n[own].astype(np.uint32), count.astype(np.uint32), (t & np.uint64(0xFFFFFFFF)).astype(np.uint32), (t >> np.uint64(32)).astype(np.uint16))))
+                    blobs.append(b"".join(x.tobytes() for x in (np.array([len(own_marks)], np.uint64), own_marks, *sets(at, owner, digest, n), (t & np.uint64(0xFFFFFFFF)).astype(np.uint32), (t >> np.uint64(32)).astype(np.uint16))))
+            # Hot shingles go with their sets, to buckets of digests.
+            warm = np.flatnonzero(hot)
+            home = (digest[owner[warm]] % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(home, kind="stable")
+            edges = np.searchsorted(home[order], np.arange(buckets + 1))
+            for k in range(buckets):
+                at = warm[order[edges[k] : edges[k + 1]]]
+                if len(at):
+                    which.append(buckets + k)
+                    blobs.append(b"".join(x.tobytes() for x in (*sets(at, owner, digest, n), _value(_MOST, bucket[at].astype(np.uint64), token[at] & _TOKEN))))
             return pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "payload"])
 
         base = 0
@@ -140,41 +162,60 @@ def _packed(docs: DataFrame, buckets: int, size: int, text: str) -> DataFrame:
     return docs.select(docs[text].cast("string")).mapInArrow(run, "bucket int, payload binary")
 
 
-def _repeated(table: pa.Table) -> pa.Table:
+def _value(level: np.ndarray, bucket: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Frequency class << 56 | shingle."""
+    return level << np.uint64(56) | (bucket & np.uint64(255)) << np.uint64(48) | token
+
+
+def _repeated(table: pa.Table, buckets: int) -> pa.Table:
     """Of a bucket: for each set, its shingles that two sets or more have, as frequency class << 56 | shingle."""
     bucket = table.column(0)[0].as_py()
-    digests, sizes, tokens = [], [], []
+    digests, sizes, tokens, marks = [], [], [], [np.zeros(0, np.uint64)]
     for payload in table.column(1):
-        blob = payload.as_buffer()
-        k = int(np.frombuffer(blob, np.uint64, 1)[0])
-        digest = np.frombuffer(blob, np.uint64, k, 8)
-        n = np.frombuffer(blob, np.uint32, k, 8 + 8 * k)
-        count = np.frombuffer(blob, np.uint32, k, 8 + 12 * k)
+        blob, at = payload.as_buffer(), 0
+
+        def take(kind: type, n: int) -> np.ndarray:
+            nonlocal at
+            x = np.frombuffer(blob, kind, n, at)
+            at += x.nbytes
+            return x
+
+        if bucket < buckets:
+            marks.append(take(np.uint64, int(take(np.uint64, 1)[0])))
+        k = int(take(np.uint64, 1)[0])
+        digest, n, count = take(np.uint64, k), take(np.uint32, k), take(np.uint32, k)
         m = int(count.sum())
-        low = np.frombuffer(blob, np.uint32, m, 8 + 16 * k)
-        mid = np.frombuffer(blob, np.uint16, m, 8 + 16 * k + 4 * m)
-        tokens.append(mid.astype(np.uint64) << np.uint64(32) | low)
+        if bucket < buckets:
+            low, mid = take(np.uint32, m), take(np.uint16, m)
+            tokens.append(mid.astype(np.uint64) << np.uint64(32) | low)
+        else:
+            tokens.append(take(np.uint64, m))
         digests.append(np.repeat(digest, count))
         sizes.append(np.repeat(n, count))
     digest, size, token = (np.concatenate(x) for x in (digests, sizes, tokens))
-    order = np.argsort(token, kind="stable")  # most shingles are of one set only: leave them out before the finer sort
-    t = token[order]
-    same = t[1:] == t[:-1]
-    keep = np.zeros(len(t), bool)
-    keep[1:] |= same
-    keep[:-1] |= same
-    order = order[keep]
-    digest, size, token = digest[order], size[order], token[order]
-    order = np.lexsort((digest, token))
-    digest, size, token = digest[order], size[order], token[order]
-    fresh = np.ones(len(token), bool)
-    fresh[1:] = (token[1:] != token[:-1]) | (digest[1:] != digest[:-1])
-    digest, size, token = digest[fresh], size[fresh], token[fresh]
-    _, back, df = np.unique(token, return_inverse=True, return_counts=True)
-    df = df[back]
-    many = df > 1
-    digest, size, token, df = digest[many], size[many], token[many], df[many]
-    value = np.minimum(127, np.floor(6 * np.log2(np.maximum(df, 1)))).astype(np.uint64) << np.uint64(56) | np.uint64(bucket & 255) << np.uint64(48) | token
+    if bucket < buckets:
+        hot = np.unique(np.concatenate(marks))
+        order = np.argsort(token, kind="stable")  # most shingles are of one set only: leave them out before the finer sort
+        t = token[order]
+        same = t[1:] == t[:-1]
+        keep = np.isin(t, hot)
+        keep[1:] |= same
+        keep[:-1] |= same
+        order = order[keep]
+        digest, size, token = digest[order], size[order], token[order]
+        order = np.lexsort((digest, token))
+        digest, size, token = digest[order], size[order], token[order]
+        fresh = np.ones(len(token), bool)
+        fresh[1:] = (token[1:] != token[:-1]) | (digest[1:] != digest[:-1])
+        digest, size, token = digest[fresh], size[fresh], token[fresh]
+        _, back, df = np.unique(token, return_inverse=True, return_counts=True)
+        df, often = df[back], np.isin(token, hot)
+        many = (df > 1) | often
+        digest, size, token, df, often = digest[many], size[many], token[many], df[many], often[many]
+        level = np.where(often, 127, np.minimum(126, np.floor(6 * np.log2(np.maximum(df, 1)))))
+        value = _value(level.astype(np.uint64), np.full(len(token), bucket, np.uint64), token)
+    else:
+        value = token
     order = np.lexsort((value, digest))
     digest, size, value = digest[order], size[order], value[order]
     own, first, count = np.unique(digest, return_index=True, return_counts=True)
@@ -191,10 +232,10 @@ def candidates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, tex
     """Sets that may link: digest, n, and their repeated shingles from the rarest on (``shared``)."""
     spark = docs.sparkSession
     small_batches(spark)
-    packed = _packed(docs, min(60_000, 2 * shuffle_parts(spark)), size, text)
-    back = packed.groupBy("bucket").applyInArrow(_repeated, "digest long, n long, shared array<long>")
-    whole = back.groupBy("digest").agg(F.max("n").alias("n"), F.sum(F.size("shared")).alias("s"), F.collect_list("shared").alias("parts"))  # no longer than the document
-    return cut(whole.filter(F.col("s") >= required(F.col("n"), percent)).select("digest", "n", F.array_sort(F.flatten("parts")).alias("shared")))
+    buckets = min(60_000, 2 * shuffle_parts(spark))
+    back = _packed(docs, buckets, size, text).groupBy("bucket").applyInArrow(lambda t: _repeated(t, buckets), "digest long, n long, shared array<long>")
+    whole = back.groupBy("digest").agg(F.max("n").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("shared")))).alias("shared"))  # no longer than the document
+    return cut(whole.filter(F.size("shared") >= required(F.col("n"), percent)))
 
 
 def light_limit(cand: DataFrame, percent: int = PERCENT, most: int = LIGHT_MOST) -> int:

@@ -87,6 +87,17 @@ def test_jaccard_join(spark, seed, n, words, edits):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == linked(rows)
 
 
+@pytest.mark.parametrize("hot", [2, 5, 20])
+def test_jaccard_join_with_hot_shingles(spark, monkeypatch, hot):
+    """However few sets make a shingle hot, the links are the same, also where only some packs know it."""
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    monkeypatch.setattr(ngram_join, "PACK_TOKENS", 900)
+    rows = variants(0, 250, [60, 80, 100], 6)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = ngram_join.near_duplicates(df)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == linked(rows)
+
+
 def test_jaccard_join_with_every_limit(spark):
     """Whatever parts light sets from heavy ones, the links are the same."""
     rows = variants(1, 200, [5, 6, 7, 8, 12, 20], 2)
