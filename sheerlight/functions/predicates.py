@@ -1,0 +1,57 @@
+"""Predicates and small functions on code points, words and colours, as columns."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from . import values as V
+
+
+def is_tag(point: Column) -> Column:
+    """In the block of tags."""
+    return point.between(0xE0000, 0xE007F)
+
+
+def selector_byte(point: Column) -> Column:
+    """The byte that a variation selector stands for; -1 for other code points."""
+    return F.when(point.between(0xFE00, 0xFE0F), point - 0xFE00).when(point.between(0xE0100, 0xE01EF), point - 0xE0100 + 16).otherwise(-1)
+
+
+def is_selector(point: Column) -> Column:
+    return selector_byte(point) >= 0
+
+
+def bit_value(point: Column) -> Column:
+    """The bit that an invisible operator stands for; -1 for other code points."""
+    return F.when(point == 0x2062, 0).when(point == 0x2064, 1).otherwise(-1)
+
+
+def plain_letter(point: Column) -> Column:
+    """The ASCII code of a styled letter; -1 for other code points."""
+    out = F.when(F.lit(False), F.lit(0))
+    for starts, base in ((V.STYLED_UPPER, 65), (V.STYLED_LOWER, 97)):
+        for s in starts:
+            out = out.when(point.between(s, s + 25), point - s + base)
+    return out.otherwise(-1)
+
+
+def is_scramble(word: Column, target: Column) -> Column:
+    """Same length of three at least, same ends, same letters between."""
+    inner = lambda s: F.array_join(F.array_sort(F.split(F.substr(s, F.lit(2), F.length(s) - 2), "")), "")
+    ends = (F.substring(word, 1, 1) == F.substring(target, 1, 1)) & (F.substring(word, -1, 1) == F.substring(target, -1, 1))
+    return (F.length(word) == F.length(target)) & (F.length(word) >= 3) & ends & (inner(word) == inner(target))
+
+
+def luminance(colour: Column) -> Column:
+    """From the first three whole numbers of a colour; 0 if there are fewer."""
+    n = F.transform(F.regexp_extract_all(colour, F.lit(r"(\d+)"), F.lit(1)), lambda x: x.cast("double"))
+    weights = F.array(*[F.lit(x) for x in (0.299, 0.587, 0.114)])
+    total = F.aggregate(F.zip_with(F.slice(n, 1, 3), weights, lambda a, w: a * w), F.lit(0.0), lambda a, x: a + x)
+    return F.when(F.size(n) >= 3, total).otherwise(0.0)
+
+
+def is_transparent(colour: Column) -> Column:
+    """No colour, or black without any opacity, in either notation."""
+    bare = F.lower(F.regexp_replace(colour, r"\s+", ""))
+    return F.coalesce((bare == "") | bare.rlike(r"^(?:rgba\(0,0,0,0(?:\.0+)?\)|rgba?\(000/0(?:\.0+)?\)|transparent)$"), F.lit(True))

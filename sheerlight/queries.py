@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import normalise, values as V
+from .functions import normalise, predicates, values as V
 from .functions.text import plain
 from .operators import detect, rank, report
 from .plans import scan
@@ -504,7 +504,19 @@ def page_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def background_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule for text that can't be told from what is behind it, on colours made from parts."""
     p = table(spark, sf_dir, "part")
-    lum = lambda s: F.aggregate(F.zip_with(F.slice(F.regexp_extract_all(s, F.lit(r"(\d+)"), F.lit(1)), 1, 3), F.array(*[F.lit(x) for x in (0.299, 0.587, 0.114)]), lambda n, w: n.cast("double") * w), F.lit(0.0), lambda a, x: a + x)
     text = F.concat(F.lit("rgb("), F.pmod("p_partkey", F.lit(256)).cast("string"), F.lit(", "), (F.col("p_size") * 5).cast("string"), F.lit(", 10)"))
-    near = F.abs(lum(text) - lum(F.lit("rgb(200, 120, 30)"))) < 30
+    near = F.abs(predicates.luminance(text) - predicates.luminance(F.lit("rgb(200, 120, 30)"))) < 30
     return p.select("p_partkey", F.when(near, "text color = background").otherwise("none").alias("verdict"))
+
+
+_STYLED = " ".join(f"WHEN cp BETWEEN {x} AND {x + 25} THEN cp - {x} + {base}" for starts, base in ((V.STYLED_UPPER, 65), (V.STYLED_LOWER, 97)) for x in starts)
+
+
+@query(f"WITH c AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 917504 - 40 + p_partkey % 600 WHEN 1 THEN 65024 - 8 + p_partkey % 40 WHEN 2 THEN 119808 - 20 + p_partkey % 720 ELSE 8280 + p_partkey % 20 END AS cp FROM part) SELECT p_partkey, cp BETWEEN 917504 AND 917631 AS is_tag, CASE WHEN cp BETWEEN 65024 AND 65039 THEN cp - 65024 WHEN cp BETWEEN 917760 AND 917999 THEN cp - 917744 ELSE -1 END AS selector_byte, CASE cp WHEN 8290 THEN 0 WHEN 8292 THEN 1 ELSE -1 END AS bit_value, CASE {_STYLED} ELSE -1 END AS letter FROM c")
+def code_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What code points around the interesting blocks stand for."""
+    k, m = F.col("p_partkey"), lambda n: F.pmod(F.col("p_partkey"), F.lit(n))
+    cp = F.when(m(4) == 0, 917504 - 40 + m(600)).when(m(4) == 1, 65024 - 8 + m(40)).when(m(4) == 2, 119808 - 20 + m(720)).otherwise(8280 + m(20))
+    p = table(spark, sf_dir, "part").select(k, cp.alias("cp"))
+    c = F.col("cp")
+    return p.select("p_partkey", predicates.is_tag(c).alias("is_tag"), predicates.selector_byte(c).alias("selector_byte"), predicates.bit_value(c).alias("bit_value"), predicates.plain_letter(c).alias("letter"))

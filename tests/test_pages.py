@@ -126,3 +126,14 @@ def test_status_and_frames(spark, report):
     assert {r.page_id: r.status for r in page_status(report).collect()} == {1: "ok", 2: "ok", 3: "unscannable", 4: "ok", 5: "ok"}
     df = spark.createDataFrame([(1, "https://a.example/x/y", '<iframe src="z"></iframe><iframe src="https://b.example/"></iframe><iframe src="/w"></iframe>')], "page_id long, url string, html string")
     assert {r.target for r in frames(df).collect()} == {"https://a.example/x/z", "https://a.example/w"}
+
+
+def test_predicates(spark):
+    from pyspark.sql import functions as F
+
+    from sheerlight.functions import predicates as P
+
+    df = spark.createDataFrame([("ignroe", "ignore", "rgba(0, 0, 0, 0.0)"), ("ignore", "ignore", "rgba(255,0,0,0)"), ("gniore", "ignore", "TRANSPARENT"), ("ab", "ab", None), ("abc", "abd", "rgb(0 0 0 / 0)")], "w string, t string, c string")
+    rows = df.select(P.is_scramble(F.col("w"), F.col("t")).alias("s"), P.is_transparent(F.col("c")).alias("c"), P.luminance(F.col("c")).alias("l")).collect()
+    assert [r.s for r in rows] == [True, True, False, False, False] and [r.c for r in rows] == [True, False, True, True, True]
+    assert rows[1].l == pytest.approx(0.299 * 255)
