@@ -302,7 +302,7 @@ def _verified(pairs: DataFrame, cand: DataFrame, percent: int) -> DataFrame:
 def set_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, text: str = "text") -> DataFrame:
     """digest and root of each set that links with another."""
     cand = candidates(docs, size, percent, text)
-    entries = cut(list_entries(cand, light_limit(cand, percent), percent))
+    entries = list_entries(cand, light_limit(cand, percent), percent).persist()
     found = candidate_components(entries, lambda x, y: _may_link(x, y, percent), lambda pairs: _verified(pairs, cand, percent), FIRST_PAIRS, _told)
     return found.select(F.col("node").alias("digest"), "root")
 
@@ -311,7 +311,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     """For each row: key, ``n_shingles`` and ``component_id``, the smallest key that its links reach."""
     roots = set_components(docs, size, percent, text)
     rows = set_sizes(docs, size, text, key)
-    placed = cut(rows.join(roots.hint("merge"), "digest", "left").withColumn("root", F.coalesce("root", "digest")).drop("digest"))
+    placed = rows.join(roots.hint("merge"), "digest", "left").withColumn("root", F.coalesce("root", "digest")).drop("digest").persist()
     least = placed.filter("n > 0").groupBy("root").agg(F.min("key").alias("component_id"))
     out = placed.join(least.hint("merge"), "root", "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"))
