@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, small_batches, text_chunks
+from .common import Words, give_back, mix, small_batches, text_chunks
 
 #: Labelled texts that the space is fitted on and that vote, at most, by label.
 SAMPLE = {0: 1536, 1: 2560}
@@ -140,7 +140,10 @@ def fit(labelled: DataFrame) -> Model:
 
     rows = sorted((r["label"], bytes(r["counts"])) for r in labelled.select("text", F.col("label").cast("int")).mapInArrow(run, "label int, counts binary").toLocalIterator())
     counts = np.frombuffer(b"".join(c for _, c in rows), np.uint16).reshape(len(rows), TERMS).astype(np.float32)
-    return fit_counts(counts, np.array([y for y, _ in rows], np.float64))
+    model = fit_counts(counts, np.array([y for y, _ in rows], np.float64))
+    del rows, counts
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, cut_at: float = CUT, text: str = "text", key: str = "doc_id") -> DataFrame:

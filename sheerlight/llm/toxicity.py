@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, small_batches, span_hashes, text_chunks
+from .common import Words, give_back, mix, small_batches, span_hashes, text_chunks
 
 SAMPLE = {0: 2600, 1: 1300}
 FIT_CHARS = 10_000
@@ -388,7 +388,10 @@ def fit(labelled: DataFrame) -> Network:
     """Train on a bounded sample (text, label); texts beyond ``FIT_CHARS`` serve only for scoring."""
     rows = labelled.filter(F.length(F.coalesce("text", F.lit(""))) <= FIT_CHARS).select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
     found = sorted((r["text"], r["label"]) for r in rows.collect())  # as many as the sample's bound, each as long as FIT_CHARS at most
-    return train([t for t, _ in found], np.array([y for _, y in found], np.int64))
+    net = train([t for t, _ in found], np.array([y for _, y in found], np.int64))
+    del found
+    give_back()
+    return net
 
 
 def score(docs: DataFrame, net: Network, cut_at: float = CUT, text: str = "text", key: str = "doc_id") -> DataFrame:
