@@ -44,6 +44,8 @@ SHINGLE = 5
 PERCENT = 75
 #: Shingles a task packs before it hands them on.
 PACK_TOKENS = 1 << 20
+#: Buckets of shingles at least, so that a set is cut into about as many parts whatever the number of partitions.
+LEAST_BUCKETS = 96
 #: Sets of one pack that make a shingle hot.
 HOT = 48
 _MOST = np.uint64(127)
@@ -232,7 +234,7 @@ def candidates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, tex
     """Sets that may link: digest, n, and their repeated shingles from the rarest on (``shared``)."""
     spark = docs.sparkSession
     small_batches(spark)
-    buckets = min(60_000, 2 * shuffle_parts(spark))
+    buckets = min(60_000, max(LEAST_BUCKETS, 2 * shuffle_parts(spark)))
     back = _packed(docs, buckets, size, text).groupBy("bucket").applyInArrow(lambda t: _repeated(t, buckets), "digest long, n long, shared array<long>")
     whole = back.groupBy("digest").agg(F.max("n").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("shared")))).alias("shared"))  # no longer than the document
     return cut(whole.filter(F.size("shared") >= required(F.col("n"), percent)))
