@@ -9,9 +9,9 @@ highest window's, mapped to a score by a monotone calibration.
 
 Training is multiple-instance learning on a bounded sample of labelled texts (``SAMPLE``, each of at most ``FIT_CHARS`` characters).
 The first dimension of both tables is a statistic, the log odds of a word or n-gram to stand in toxic texts; the network learns on
-each half of the texts with the odds of the other half, so that it cannot lean on words it has counted itself.  Each epoch trains on the
+each fold of the texts with the odds of the other folds, so that it cannot lean on words it has counted itself.  Each epoch trains on the
 highest window of each toxic text and on the highest and some other windows of the others.  Calibration uses a fifth that
-took no part and the halves under each other's odds: the threshold of best F1 comes to lie at ``CUT``.
+took no part and the folds under the others' odds: the threshold of best F1 comes to lie at ``CUT``.
 
 Null and empty texts are one window without words, and get the score of its bias.  Without labels of both kinds all scores are 0.
 Labels, language, source and ids are no inputs.  Repeated rows get equal scores.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import Words, give_back, mix, small_batches, span_hashes, text_chunks
 
 SAMPLE = {0: 2600, 1: 1300}
-FIT_CHARS = 10_000
+FIT_CHARS = 8000
 WINDOW = 24
 STRIDE = 16
 HIDDEN = 8
@@ -254,12 +254,12 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     rng = np.random.default_rng(seed + 1)
     order = np.random.default_rng(seed).permutation(len(texts))
     order = order[np.argsort(labels[order], kind="stable")]  # each part gets its share of both labels
-    held, halves = order[::5], [order[1::5], order[2::5], order[3::5], order[4::5]]
-    halves = [np.sort(np.concatenate(halves[:2])), np.sort(np.concatenate(halves[2:]))]
-    halves = [x for x in halves if len(x)] or [order]
-    parts = [(_vocabulary([texts[i] for i in x]), labels[x].astype(np.int64)) for x in halves]
+    held = order[::5]
+    folds = [x for x in (np.sort(order[k::5]) for k in (1, 2, 3, 4)) if len(x)] or [order]
+    parts = [(_vocabulary([texts[i] for i in x]), labels[x].astype(np.int64)) for x in folds]
     counts = [_presence(v, y) for v, y in parts]
-    odds = [_odds(c, y) for c, (_, y) in zip(counts, parts, strict=True)]
+    others = [[j for j in range(len(parts)) if j != k] or [k] for k in range(len(parts))]
+    odds = [_odds([sum(x) for x in zip(*(counts[j] for j in js), strict=True)], np.concatenate([parts[j][1] for j in js])) for js in others]
     all_odds = _odds([sum(x) for x in zip(*counts, strict=True)], np.concatenate([y for _, y in parts]))
 
     def use_odds(which: tuple[np.ndarray, np.ndarray]) -> None:
@@ -275,12 +275,12 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     epochs = epochs * min(6, max(1, round(3000 / len(texts))))  # few texts are read more often
     for epoch in range(epochs):
         for k, (v, y) in enumerate(parts):
-            use_odds(odds[(k + 1) % len(parts)])
+            use_odds(odds[k])
             trainer.epoch(v, y, rng, epoch, 0.02 * (1 - 0.8 * epoch / epochs))
     net.trained = True
     found = []
     for k, (v, y) in enumerate(parts):
-        use_odds(odds[(k + 1) % len(parts)])
+        use_odds(odds[k])
         found.append((_highest(net, v), y))
     use_odds(all_odds)
     if len(held):
