@@ -230,3 +230,30 @@ def test_queries_are_registered():
 
     names = set(e.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+# ------------------------------------------------------------------------------------------------ lines, by edit similarity alone
+
+
+def edited(rng, line):
+    """A copy with up to as many edits as ``SIMILARITY`` allows."""
+    out = list(line)
+    for _ in range(rng.randint(1, int(len(line) * (1 - lines.SIMILARITY) + 1e-9))):
+        k = rng.randrange(len(out))
+        out[k : k + rng.choice([0, 1, 1])] = rng.choice(["", "q", "x", "u"])
+    return "".join(out)
+
+
+def test_near_lines_of_all_lengths_are_found(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9)))
+    rows = []
+    for k in range(400):
+        line = " ".join(word() for _ in range(rng.choice([2, 4, 6, 8, 10, 20, 30, 100])))
+        copy = edited(rng, line) if len(line) >= 7 else line
+        a, b = " ".join(normal(line)), " ".join(normal(copy))
+        if a and b and distance(a, b) <= int(max(len(a), len(b)) * (1 - lines.SIMILARITY) + 1e-9):
+            rows += [(2 * k, line), (2 * k + 1, copy)]
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = sum(r.n_dropped for r in got if r.doc_id % 2)
+    assert found >= 0.95 * len(rows) / 2 and not any(r.n_dropped for r in got if r.doc_id % 2 == 0) and len(rows) > 600
