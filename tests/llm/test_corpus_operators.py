@@ -257,3 +257,10 @@ def test_near_lines_of_all_lengths_are_found(spark):
     got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     found = sum(r.n_dropped for r in got if r.doc_id % 2)
     assert found >= 0.95 * len(rows) / 2 and not any(r.n_dropped for r in got if r.doc_id % 2 == 0) and len(rows) > 600
+
+
+def test_short_and_unspaced_lines(spark):
+    han = "这是一个没有空格的很长的句子用来检查重复的行是否会被删除"
+    rows = [(1, f"Read more\n{han}\n---\n"), (2, f"read more!\n{han}\n---\n"), (3, "x\n" + han.replace("检查", "检验")), (4, "X\nRead mode no more")]
+    got = {r.doc_id: (r.text, r.n_dropped) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("---\n", 2), 3: ("x", 1), 4: ("Read mode no more", 1)}
