@@ -9,7 +9,8 @@ names become typed placeholders, so a question with other parameters has the sam
 
 All other tokens stay, in lower case, whatever stands between them.  The windows of ``WINDOW`` template tokens of each
 benchmark item (a shorter item is one window) with at least ``LITERALS`` literal tokens are hashed; each window of each
-document is looked up.  Windows of one item that match on one alignment (document place less item place) are joined to
+document is looked up.  As names depend on case and punctuation, each window is hashed a second time with its names as
+lower-case words and a unit at its beginning as it stands, so copies are found in any case.  Windows of one item that match on one alignment (document place less item place) are joined to
 a run, and the run's slots are checked: one value of the item must always meet the same value of the document and the
 other way about, per type, else the run is dropped from its first contradiction on (what follows begins a new run).
 A document is contaminated by an item if consistent runs cover half of the item's tokens, or ``RUN_TOKENS`` in a row.  If some
@@ -121,18 +122,25 @@ class Tokens:
         self.template = np.where(kind == LITERAL, self.value, mix(kind.astype(np.uint64) + np.uint64(77)))
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """First token and hash of each window of one text with enough literal tokens."""
+        """First token and hash of each window of one text: by template if it has enough literal tokens, and by words."""
         n = len(self.kind) - size + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         weights = mix(np.arange(1, size + 1, dtype=np.uint64)) | np.uint64(1)
-        h = np.zeros(n, np.uint64)
+        slot = (self.kind == NUMBER) | (self.kind == UNIT)
+        words = np.where(slot, self.template, self.value)
+        h, caseless = (np.zeros(n, np.uint64) for _ in range(2))
         for k in range(size):
             h += self.template[k : k + n] * weights[k]
-        literal = np.concatenate([[0], np.cumsum(self.kind == LITERAL)])
-        use = (self.doc[:n] == self.doc[size - 1 :]) & (literal[size:] - literal[:-size] >= min(LITERALS, size))
-        at = np.flatnonzero(use)
-        return at, mix(h[at] + np.uint64(size))
+            # What precedes a window must not decide whether it begins with a unit.
+            caseless += (words if k else np.where(self.kind == NUMBER, self.template, self.value))[k : k + n] * weights[k]
+        inside = self.doc[:n] == self.doc[size - 1 :]
+        least = min(LITERALS, size)
+        count = lambda x: (c := np.concatenate([[0], np.cumsum(x)]))[size:] - c[:-size]
+        at = np.flatnonzero(inside & (count(self.kind == LITERAL) >= least))
+        both = np.flatnonzero(inside & (count(~slot) + (self.kind[:n] == UNIT) >= least))
+        plain = mix(caseless + np.uint64(size)) ^ np.uint64(0x5DEECE66D)
+        return np.concatenate([at, both]), np.concatenate([mix(h[at] + np.uint64(size)), plain[both]])
 
 
 _HASHES: dict[str, np.ndarray] = {}
@@ -265,7 +273,7 @@ def benchmark_blocks(benchmark: DataFrame, block: int, item: str, item_text: str
     """The items in blocks of about ``block`` windows at most, one of which is on the driver at a time."""
     bench = benchmark.filter(benchmark[item_text].isNotNull()).select(benchmark[item].cast("long").alias("id"), benchmark[item_text].cast("string").alias("x"))
     size = bench.agg(F.sum(F.length("x"))).first()[0] or 0
-    blocks = max(1, -(-size // (4 * block)))  # a token and the gap after it take four characters at least, nearly always
+    blocks = max(1, -(-size // (2 * block)))  # a token and the gap after it take four characters at least, nearly always, and give two windows
     for k in range(blocks):
         yield sorted((r["id"], r["x"]) for r in bench.filter(F.pmod(F.xxhash64("x"), F.lit(blocks)) == k).collect())
 

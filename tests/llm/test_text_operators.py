@@ -366,3 +366,11 @@ def test_votes_are_those_of_a_plain_search():
 def test_folds(spark):
     rows = spark.range(50).select("id", labelled.fold("id", 4).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 4 for r in rows)
+
+
+# ------------------------------------------------------------------------------------------------ exact copies of items
+
+
+@pytest.mark.parametrize("text", [ITEM.lower(), ITEM.upper(), f"12 {ITEM.lower()}", ITEM.lower().replace("12", "40").replace(" 3 ", " 9 ")])
+def test_copies_in_any_case(text):
+    assert decontaminate.judge(decontaminate.tokens_of([text]), decontaminate.Index([(7, ITEM)]), 1)[0]
