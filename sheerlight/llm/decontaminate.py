@@ -10,7 +10,8 @@ names become typed placeholders, so a question with other parameters has the sam
 All other tokens stay, in lower case, whatever stands between them.  The windows of ``WINDOW`` template tokens of each
 benchmark item (a shorter item is one window) with at least ``LITERALS`` literal tokens are hashed; each window of each
 document is looked up.  As names depend on case and punctuation, each window is hashed a second time with its names as
-lower-case words and a unit at its beginning as it stands, so copies are found in any case.  Windows of one item that match on one alignment (document place less item place) are joined to
+lower-case words and a unit at its beginning as it stands; if even so fewer than ``LITERALS`` tokens are literal, with the
+values of all its tokens.  So exact copies are found in any case and however rich in numbers, names and units.  Windows of one item that match on one alignment (document place less item place) are joined to
 a run, and the run's slots are checked: one value of the item must always meet the same value of the document and the
 other way about, per type, else the run is dropped from its first contradiction on (what follows begins a new run).
 A document is contaminated by an item if consistent runs cover half of the item's tokens, or ``RUN_TOKENS`` in a row.  If some
@@ -129,17 +130,19 @@ class Tokens:
         weights = mix(np.arange(1, size + 1, dtype=np.uint64)) | np.uint64(1)
         slot = (self.kind == NUMBER) | (self.kind == UNIT)
         words = np.where(slot, self.template, self.value)
-        h, caseless = (np.zeros(n, np.uint64) for _ in range(2))
+        h, caseless, exact = (np.zeros(n, np.uint64) for _ in range(3))
         for k in range(size):
             h += self.template[k : k + n] * weights[k]
             # What precedes a window must not decide whether it begins with a unit.
             caseless += (words if k else np.where(self.kind == NUMBER, self.template, self.value))[k : k + n] * weights[k]
+            exact += self.value[k : k + n] * weights[k]
         inside = self.doc[:n] == self.doc[size - 1 :]
         least = min(LITERALS, size)
         count = lambda x: (c := np.concatenate([[0], np.cumsum(x)]))[size:] - c[:-size]
         at = np.flatnonzero(inside & (count(self.kind == LITERAL) >= least))
-        both = np.flatnonzero(inside & (count(~slot) + (self.kind[:n] == UNIT) >= least))
-        plain = mix(caseless + np.uint64(size)) ^ np.uint64(0x5DEECE66D)
+        rich = count(~slot) + (self.kind[:n] == UNIT) >= least
+        both = np.flatnonzero(inside)
+        plain = np.where(rich, mix(caseless + np.uint64(size)) ^ np.uint64(0x5DEECE66D), mix(exact + np.uint64(size)) ^ np.uint64(0xB5026F5AA))
         return np.concatenate([at, both]), np.concatenate([mix(h[at] + np.uint64(size)), plain[both]])
 
 

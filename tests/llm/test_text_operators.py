@@ -374,3 +374,10 @@ def test_folds(spark):
 @pytest.mark.parametrize("text", [ITEM.lower(), ITEM.upper(), f"12 {ITEM.lower()}", ITEM.lower().replace("12", "40").replace(" 3 ", " 9 ")])
 def test_copies_in_any_case(text):
     assert decontaminate.judge(decontaminate.tokens_of([text]), decontaminate.Index([(7, ITEM)]), 1)[0]
+
+
+@pytest.mark.parametrize(("item", "text"), [("Which metal melts at room temperature?", "ask which metal melts at room temperature"), ("12 + 34 = 46", "so 12 + 34 = 46 holds"), ("1 5 9 12 44 87 3 2 10 77 31", "figures 1 5 9 12 44 87 3 2 10 77 31 end"), ("The Great Old Red Barn Of Peter And Maria Smith", "in The Great Old Red Barn Of Peter And Maria Smith")])
+def test_copies_of_dense_and_short_items(item, text):
+    index = decontaminate.Index([(7, item)])
+    assert decontaminate.judge(decontaminate.tokens_of([text]), index, 1)[0]
+    assert not decontaminate.judge(decontaminate.tokens_of(["figures 1 6 9 13 44 88 3 4 10 78 31 and 12 + 35 = 47"]), index, 1)[0]
