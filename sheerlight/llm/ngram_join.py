@@ -102,6 +102,19 @@ def set_sizes(docs: DataFrame, size: int = SHINGLE, text: str = "text", key: str
     return docs.select(docs[key].cast("long").alias("key"), docs[text].cast("string")).mapInArrow(run, "key long, n long, digest long")
 
 
+def placed_sets(named: DataFrame, size: int, text: str) -> DataFrame:
+    """``set_sizes`` of rows that are known by a struct ``row`` of key and text hash."""
+    small_batches(named.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, data, offsets in text_chunks(b.column(1)):
+                _, _, n, digest = shingle_sets(data, offsets, size)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(digest.view(np.int64))], names=["row", "n", "digest"])
+
+    return named.select("row", F.col(text).cast("string")).mapInArrow(run, "row struct<key:long,h:long>, n long, digest long")
+
+
 def _packed(docs: DataFrame, buckets: int, size: int, text: str) -> DataFrame:
     """Shingles by bucket: (bucket, payload); a set is packed once in each task."""
 
@@ -320,13 +333,17 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row of each group of linked documents, that of the smallest key, with all its columns.
+    """One row of each group of linked documents, that of the smallest key and text hash (null keys last), with all its columns.
 
-    Rows without words stay.  Of rows with one key, each of which is in a group, those stay whose key is the group's; rows equal
-    in key and text are one.
+    Rows without words stay.  Rows equal in key and text are one.
     """
-    found = near_duplicates(docs, size, percent, text, key)
-    held = cut(found.groupBy(F.col(key).alias("__key")).agg(F.min(F.col("component_id").eqNullSafe(F.col(key))).alias("__stay"), F.count(F.lit(1)).alias("__n")))
-    more = held.agg(F.max("__n")).first()[0] or 0
-    out = docs.join(held.filter("__stay").hint("merge"), docs[key].cast("long").eqNullSafe(F.col("__key")), "left_semi")
-    return out.dropDuplicates([key, text]) if more > 1 else out
+    roots = set_components(docs, size, percent, text)
+    named = docs.select(F.struct(docs[key].cast("long").alias("key"), F.xxhash64(docs[text].cast("string")).alias("h")).alias("row"), docs[text].alias(text))
+    rows = placed_sets(named, size, text)
+    placed = rows.join(roots.hint("merge"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    place = F.struct(F.col("row.key").isNull().alias("none"), F.col("row.key").alias("key"), F.col("row.h").alias("h"))
+    tops = placed.filter("n > 0").groupBy("root").agg(F.min(place).alias("top")).select("top.key", "top.h")
+    held = cut(tops.union(placed.filter("n = 0").select("row.key", "row.h").distinct()).select(F.col("key").alias("__key"), F.col("h").alias("__h")))
+    out = docs.join(held.hint("merge"), docs[key].cast("long").eqNullSafe(F.col("__key")) & (F.xxhash64(docs[text].cast("string")) == F.col("__h")), "left_semi")
+    more = named.groupBy("row").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").limit(1).count()
+    return out.dropDuplicates([key, text]) if more else out

@@ -264,3 +264,10 @@ def test_short_and_unspaced_lines(spark):
     rows = [(1, f"Read more\n{han}\n---\n"), (2, f"read more!\n{han}\n---\n"), (3, "x\n" + han.replace("检查", "检验")), (4, "X\nRead mode no more")]
     got = {r.doc_id: (r.text, r.n_dropped) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: (rows[0][1], 0), 2: ("---\n", 2), 3: ("x", 1), 4: ("Read mode no more", 1)}
+
+
+def test_representatives_are_rows(spark):
+    x, y, z = (" ".join(f"{c}{k}" for k in range(30)) for c in "xyz")
+    rows = [(3, y), (5, x), (5, y + " more"), (None, y), (None, z), (None, "clean text of its own here"), (None, ""), (7, z.upper())]
+    got = ngram_join.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, got)) == Counter([(3, y), (5, x), (None, "clean text of its own here"), (None, ""), (7, z.upper())])
