@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
+import pickle
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,13 @@ ARROW_ROWS = 1024
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    A local folder is set only where the setting is missing (tests on one machine).
+    A local folder is set only where the setting is missing and the session is local (tests on one machine).
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="sheerlight-")
         spark.conf.set("spark.checkpoint.dir", found)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -56,12 +59,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def give_back() -> None:
-    """Return memory that training has freed to the system, where the C library can."""
-    gc.collect()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared ones, with Hadoop's own file systems."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+Fitted = TypeVar("Fitted")
+
+
+def fitted(rows: DataFrame, fit: Callable[[pa.Table], Fitted]) -> Fitted:
+    """What ``fit`` makes of a bounded table, in one executor task: only the model comes to the driver, pickled.
+
+    A lost executor costs one more run of the task; ``fit`` must not depend on the order of the rows.
+    """
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(pa.Table.from_batches(held)))], pa.binary())], names=["model"])
+
+    found = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fit(pa.table({n: [] for n in names}))
 
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -69,8 +90,13 @@ def shuffle_parts(spark: SparkSession) -> int:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for texts of any length."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Keep Arrow batches small enough for texts of any length.
+
+    Spark reads the setting when a plan runs, which is after this returns, so it is lowered for the session; a lower one stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
 
 
 def text_of(column: str | Column = "text") -> Column:

@@ -7,8 +7,10 @@ of labelled texts gives the latent space; the sample's vectors are broadcast (``
 corpus), and each document's cosine with all of them is computed exactly, in blocks.  The ``NEIGHBOURS`` nearest vote
 with weight similarity ** ``SHARPNESS``; a small prior keeps votes of far neighbours from being extreme.
 
-Null and empty texts have no terms: their score is the sample's share of label 1.  Without any label all scores are 0.5;
-with one label only, that label.  Labels, language, source and ids are no inputs.  Repeated rows get equal scores.
+Of labelled texts that are equally near, those first in the sample's order (by label and terms) vote.  Null and empty texts have no
+terms: their score is the sample's share of label 1.  Very long texts are counted in whole.  Without any label all scores are 0.5; with
+one label only, that label.  Labels, language, source and ids are no inputs, and other columns, whatever their names, are ignored.  Repeated
+rows get equal scores.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, give_back, mix, small_batches, text_chunks
+from .common import Words, fitted, mix, small_batches, text_chunks
 
 #: Labelled texts that the space is fitted on and that vote, at most, by label.
 SAMPLE = {0: 1536, 1: 2560}
@@ -100,7 +102,11 @@ class Model:
         k = min(NEIGHBOURS, len(self.labels))
         for at in range(0, len(counts), 256):
             like = np.maximum(self.project(counts[at : at + 256]) @ self.vectors.T, 0)
-            near = np.argpartition(like, len(self.labels) - k, axis=1)[:, -k:]
+            # The k most alike; of those as like as the last one, the first in the order of the sample.
+            least = np.partition(like, len(self.labels) - k, axis=1)[:, -k, None]
+            above, tied = like > least, like == least
+            take = above | (tied & (np.cumsum(tied, axis=1) <= k - above.sum(1, keepdims=True)))
+            near = np.nonzero(take)[1].reshape(len(like), k)
             votes = np.take_along_axis(like, near, 1).astype(np.float64) ** SHARPNESS
             out[at : at + 256] = ((votes * self.labels[near]).sum(1) + PRIOR_VOTES * share) / (votes.sum(1) + PRIOR_VOTES)
         return np.clip(out, 0, 1)
@@ -129,7 +135,7 @@ def fit_counts(counts: np.ndarray, labels: np.ndarray, rank: int = RANK) -> Mode
 
 
 def fit(labelled: DataFrame) -> Model:
-    """The model of a bounded sample (text, label): terms are counted on the executors, counts come to the driver."""
+    """The model of a bounded sample (text, label): terms are counted by many tasks, the space is fitted by one."""
     small_batches(labelled.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,12 +144,12 @@ def fit(labelled: DataFrame) -> Model:
                 counts = np.minimum(term_counts(data, offsets), 65000).astype(np.uint16)
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(i, j - i), pa.array([x.tobytes() for x in counts], pa.binary())], names=["label", "counts"])
 
-    rows = sorted((r["label"], bytes(r["counts"])) for r in labelled.select("text", F.col("label").cast("int")).mapInArrow(run, "label int, counts binary").toLocalIterator())
-    counts = np.frombuffer(b"".join(c for _, c in rows), np.uint16).reshape(len(rows), TERMS).astype(np.float32)
-    model = fit_counts(counts, np.array([y for y, _ in rows], np.float64))
-    del rows, counts
-    give_back()
-    return model
+    def make(table: pa.Table) -> Model:
+        rows = sorted(zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True))
+        counts = np.frombuffer(b"".join(c for _, c in rows), np.uint16).reshape(len(rows), TERMS).astype(np.float32)
+        return fit_counts(counts, np.array([y for y, _ in rows], np.float64))
+
+    return fitted(labelled.select("text", F.col("label").cast("int")).mapInArrow(run, "label int, counts binary"), make)
 
 
 def score(docs: DataFrame, model: Model, cut_at: float = CUT, text: str = "text", key: str = "doc_id") -> DataFrame:

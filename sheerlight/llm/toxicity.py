@@ -7,14 +7,15 @@ network reads windows of ``WINDOW`` words every ``STRIDE`` words, which overlap
 softmax over the hidden states pools them, and a linear layer gives the window's logit.  A document's logit is its
 highest window's, mapped to a score by a monotone calibration.
 
-Training is multiple-instance learning on a bounded sample of labelled texts (``SAMPLE``, each of at most ``FIT_CHARS`` characters).
-The first dimension of both tables is a statistic, the log odds of a word or n-gram to stand in toxic texts; the network learns on
-each fold of the texts with the odds of the other folds, so that it cannot lean on words it has counted itself.  Each epoch trains on the
-highest window of each toxic text and on the highest and some other windows of the others.  Calibration uses a fifth that
-took no part and the folds under the others' odds: the threshold of best F1 comes to lie at ``CUT``.
-
-Null and empty texts are one window without words, and get the score of its bias.  Without labels of both kinds all scores are 0.
-Labels, language, source and ids are no inputs.  Repeated rows get equal scores.
+Training is multiple-instance learning on a bounded sample of labelled texts (``SAMPLE``, pieces of at most ``FIT_CHARS`` characters).
+The first epochs read all windows of toxic texts, which share their text's weight; the others the highest window of each, and of
+the clean texts the highest and some other windows.  Words and n-grams of fewer than ``LEAST_TEXTS`` sampled texts have no vector.  A fifth
+of the sample takes no part: on it, each text weighed by the labels it stands for, the threshold of best F1 comes to lie at ``CUT``.
+
+Null and empty texts are one window without words, and get the score of its bias.  Very long texts are scored in whole, some windows
+at a time.  Without labels of both kinds, or for an empty table of them, all scores are 0.  An empty table gives no rows.  Labels, language,
+source and ids are no inputs, so other columns and their names don't matter.  Repeated rows get equal scores; ties in a pool or between
+windows change nothing, as only the highest value counts.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, give_back, mix, small_batches, span_hashes, text_chunks
+from .common import Words, fitted, mix, small_batches, span_hashes, text_chunks
 
 SAMPLE = {0: 2600, 1: 1300}
 FIT_CHARS = 8000
@@ -37,9 +38,15 @@ WIDTH = 8
 WORD_ROWS = 1 << 16
 GRAM_ROWS = 1 << 16
 GRAMS = (3, 4, 5)
-EPOCHS = 6
-#: Clean texts are rarer in the sample than among all rows; each stands for so many when the threshold is set.
-CLEAN_WEIGHT = 4
+EPOCHS = 8
+#: Epochs on all windows of toxic texts, before their highest ones are known.
+ALL_WINDOWS = 3
+RATE = 0.02
+TABLE_RATE = 0.2
+#: Share of words that a batch reads without their own vectors, so that their characters have to tell.
+WORD_DROPOUT = 0.5
+#: Sampled texts that must hold a word or an n-gram for it to have a vector.
+LEAST_TEXTS = 4
 CUT = 0.3
 _SIGN = np.zeros(256, bool)
 _SIGN[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
@@ -114,6 +121,7 @@ class Network:
         rng = np.random.default_rng(seed)
         normal = lambda *shape, s=0.3: (rng.standard_normal(shape) * s).astype(np.float32)
         self.p = {"word": normal(WORD_ROWS, WIDTH, s=0.02), "gram": normal(GRAM_ROWS, WIDTH, s=0.02), "wx": normal(2, 2 * WIDTH, 3 * HIDDEN), "bx": np.zeros((2, 3 * HIDDEN), np.float32), "wh": normal(2, HIDDEN, 3 * HIDDEN), "va": normal(2 * HIDDEN), "vo": normal(2 * HIDDEN), "bo": np.zeros(1, np.float32)}
+        self.known = {"word": np.ones(WORD_ROWS, bool), "gram": np.ones(GRAM_ROWS, bool)}
         self.map = (1.0, 0.0)
         self.trained = False
 
@@ -222,104 +230,84 @@ def _index(v: Vocabulary, first: np.ndarray, size: np.ndarray) -> np.ndarray:
 # ------------------------------------------------------------------------------------------------ training
 
 
-def _log_odds(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
-    """Of a feature's presence in a toxic text against another, drawn to 0 where it was seen little, and 0 below three texts."""
-    odds = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))
-    return np.where(a + b < 3, 0, np.clip(odds, -4, 4) * (a + b) / (a + b + 4)).astype(np.float32)
-
-
-def _presence(v: Vocabulary, y: np.ndarray) -> list[np.ndarray]:
-    """Texts of label 1 and of label 0 that hold each word row, and each n-gram row."""
-    out = [np.zeros(n, np.int64) for n in (WORD_ROWS, WORD_ROWS, GRAM_ROWS, GRAM_ROWS)]
+def _seen(v: Vocabulary, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which word rows and which n-gram rows occur in ``least`` texts or more."""
+    counts = [np.zeros(n, np.int64) for n in (WORD_ROWS, GRAM_ROWS)]
     ends = np.cumsum(v.count)
-    for d, (e, n) in enumerate(zip(ends, v.count, strict=True)):
+    for e, n in zip(ends, v.count, strict=True):
         if n:
             words = np.unique(v.order[e - n : e])
-            k = 0 if y[d] == 1 else 1
-            out[k][np.unique(v.row[words])] += 1
-            out[2 + k][np.unique(_Sub(v, words).grams)] += 1
-    return out
-
-
-def _odds(counts: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n1 = max(1, int(y.sum()))
-    n0 = max(1, len(y) - n1)
-    return _log_odds(counts[0], counts[1], n1, n0), _log_odds(counts[2], counts[3], n1, n0)
+            counts[0][np.unique(v.row[words])] += 1
+            counts[1][np.unique(_Sub(v, words).grams)] += 1
+    return counts[0] >= least, counts[1] >= least
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 2) -> Network:
+def train(texts: list[str], labels: np.ndarray, weights: np.ndarray | None = None, epochs: int = EPOCHS, seed: int = 2) -> Network:
+    """A network that has seen all texts but every fifth, which only set its threshold."""
     net = Network(seed)
+    weights = np.ones(len(texts)) if weights is None else weights
     if not len(texts) or labels.min() == labels.max():
         return net
     rng = np.random.default_rng(seed + 1)
     order = np.random.default_rng(seed).permutation(len(texts))
     order = order[np.argsort(labels[order], kind="stable")]  # each part gets its share of both labels
     held = order[::5]
-    folds = [x for x in (np.sort(order[k::5]) for k in (1, 2, 3, 4)) if len(x)] or [order]
-    parts = [(_vocabulary([texts[i] for i in x]), labels[x].astype(np.int64)) for x in folds]
-    counts = [_presence(v, y) for v, y in parts]
-    others = [[j for j in range(len(parts)) if j != k] or [k] for k in range(len(parts))]
-    odds = [_odds([sum(x) for x in zip(*(counts[j] for j in js), strict=True)], np.concatenate([parts[j][1] for j in js])) for js in others]
-    all_odds = _odds([sum(x) for x in zip(*counts, strict=True)], np.concatenate([y for _, y in parts]))
-
-    def use_odds(which: tuple[np.ndarray, np.ndarray]) -> None:
-        net.p["word"][:, 0], net.p["gram"][:, 0] = which
-
-    # The network begins as one that sees the first dimensions.
-    for d in (0, 1):
-        net.p["wx"][d][0, 2 * HIDDEN :] += 0.5
-        net.p["wx"][d][WIDTH, 2 * HIDDEN :] += 0.5
-    net.p["va"] = np.abs(net.p["va"])
-    net.p["vo"] = np.abs(net.p["vo"])
-    trainer = _Trainer(net)
+    used = np.sort(np.setdiff1d(order, held)) if len(np.unique(labels[np.setdiff1d(order, held)])) == 2 else np.sort(order)
+    v, y = _vocabulary([texts[i] for i in used]), labels[used].astype(np.int64)
+    # What only a few texts hold has no vector: it would tell the texts, not the label.
+    for name, seen in zip(("word", "gram"), _seen(v, LEAST_TEXTS), strict=True):
+        net.p[name][~seen] = 0
+        net.known[name] = seen
+    # A maximum over n-grams can only tell what is there, so the network begins as one in which more input means a higher logit.
+    net.p["wx"][:, :, 2 * HIDDEN :] = np.abs(net.p["wx"][:, :, 2 * HIDDEN :])
+    net.p["va"], net.p["vo"] = np.abs(net.p["va"]), np.abs(net.p["vo"])
+    trainer = _Trainer(net, rng)
     epochs = epochs * min(6, max(1, round(3000 / len(texts))))  # few texts are read more often
     for epoch in range(epochs):
-        for k, (v, y) in enumerate(parts):
-            use_odds(odds[k])
-            trainer.epoch(v, y, rng, epoch, 0.02 * (1 - 0.8 * epoch / epochs))
+        trainer.epoch(v, y, epoch, RATE * (1 - 0.8 * epoch / epochs))
     net.trained = True
-    found = []
-    for k, (v, y) in enumerate(parts):
-        use_odds(odds[k])
-        found.append((_highest(net, v), y))
-    use_odds(all_odds)
-    if len(held):
-        found.append((_highest(net, _vocabulary([texts[i] for i in held])), labels[held]))
-    _calibrate(net, *(np.concatenate(x) for x in zip(*found, strict=True)))
+    tested = _vocabulary([texts[i] for i in held]), labels[held]
+    if len(np.unique(tested[1])) < 2:
+        held, tested = used, (v, y)
+    _calibrate(net, _highest(net, tested[0]), tested[1], weights[held])
     return net
 
 
 class _Trainer:
     """Adam on the network's own weights, Adagrad on the rows of the tables."""
 
-    def __init__(self, net: Network):
-        self.net, self.step = net, 0
+    def __init__(self, net: Network, rng: np.random.Generator):
+        self.net, self.rng, self.step = net, rng, 0
         self.moments = {k: [np.zeros_like(a), np.zeros_like(a)] for k, a in net.p.items() if k not in ("word", "gram")}
         self.squares = {k: np.full(len(net.p[k]), 1e-3, np.float32) for k in ("word", "gram")}
 
-    def epoch(self, v: Vocabulary, y: np.ndarray, rng: np.random.Generator, number: int, rate: float) -> None:
-        net = self.net
+    def epoch(self, v: Vocabulary, y: np.ndarray, number: int, rate: float) -> None:
+        """One pass: at first over all windows of toxic texts, which share their text's weight, then over the highest one of each."""
+        net, rng = self.net, self.rng
         doc, first, size = windows(v.count)
         starts = np.searchsorted(doc, np.arange(len(y)))
         ends = np.append(starts[1:], len(doc))
-        if number:
-            _, top = net.logits(v)
-        else:  # by the odds alone
-            x = net.vectors(v)
-            known = np.append(np.clip(x[:, 0], 0, None) + np.clip(x[:, WIDTH], 0, None), 0)
-            top = np.concatenate([np.sort(known[_index(v, first[i : i + 4096], size[i : i + 4096])], axis=1)[:, -2:].sum(1) for i in range(0, len(doc), 4096)])
-        best = np.array([s + int(np.argmax(top[s:e])) for s, e in zip(starts, ends, strict=True)])
         others = np.flatnonzero(y[doc] == 0)
-        extra = rng.choice(others, min(len(others), 2 * len(y)), replace=False)
-        hard = others[np.argsort(-top[others])[: len(y)]]
-        use = np.unique(np.concatenate([best, extra, hard]))
-        rng.shuffle(use)
-        toxic = y[doc[use]]
-        lift = max(1.0, (1 - toxic).sum() / max(1, toxic.sum()) / 2)
+        if number < ALL_WINDOWS:
+            toxic = np.flatnonzero(y[doc] == 1)
+            clean = rng.choice(others, min(len(others), max(2 * len(y), 2 * len(toxic))), replace=False)
+            use = np.concatenate([toxic, clean])
+            share = np.where(y[doc[use]] == 1, 1 / np.sqrt((ends - starts)[doc[use]]), 1.0)
+        else:
+            _, top = net.logits(v)
+            best = np.array([s + int(np.argmax(top[s:e])) for s, e in zip(starts, ends, strict=True)])
+            extra = rng.choice(others, min(len(others), 2 * len(y)), replace=False)
+            hard = others[np.argsort(-top[others])[: len(y)]]
+            use = np.unique(np.concatenate([best, extra, hard]))
+            share = np.ones(len(use))
+        mix_up = rng.permutation(len(use))
+        use, share = use[mix_up], share[mix_up]
+        toxic = y[doc[use]] == 1
+        lift = max(1.0, share[~toxic].sum() / max(1e-9, share[toxic].sum()) / 2)
         for at in range(0, len(use), 256):
             part = use[at : at + 256]
             target = y[doc[part]].astype(np.float32)
-            self.batch(v, _index(v, first[part], size[part]), size[part], target, np.where(target > 0, lift, 1.0).astype(np.float32), rate)
+            self.batch(v, _index(v, first[part], size[part]), size[part], target, (share[at : at + 256] * np.where(target > 0, lift, 1.0)).astype(np.float32), rate)
 
     def batch(self, v: Vocabulary, index: np.ndarray, size: np.ndarray, target: np.ndarray, weight: np.ndarray, rate: float) -> None:
         net = self.net
@@ -330,13 +318,15 @@ class _Trainer:
             return
         sub = _Sub(v, words)
         x, g = net.inputs(sub)
+        without = self.rng.random(len(words)) < WORD_DROPOUT
+        x[without, :WIDTH] = 0
         grad, dx, _ = net.gradients(x, at, size, target, weight)
+        dx[without, :WIDTH] = 0
         self.step += 1
         for k, m in self.moments.items():
             m[0] += 0.1 * (grad[k] - m[0])
             m[1] += 0.01 * (grad[k] ** 2 - m[1])
             net.p[k] -= (rate * (m[0] / (1 - 0.9**self.step)) / (np.sqrt(m[1] / (1 - 0.99**self.step)) + 1e-8)).astype(np.float32)
-        dx[:, 0] = dx[:, WIDTH] = 0  # the odds are no parameters
         # The character gradient goes to the n-gram that gave the maximum.
         per = np.diff(np.append(sub.first, len(sub.grams)))
         hit = g >= np.repeat(x[:, WIDTH:], per, axis=0)
@@ -344,8 +334,9 @@ class _Trainer:
             ids, back = np.unique(rows, return_inverse=True)
             total = np.zeros((len(ids), WIDTH), np.float32)
             np.add.at(total, back, d)
+            total[~net.known[k][ids]] = 0
             self.squares[k][ids] += (total**2).mean(1)
-            net.p[k][ids] -= 0.02 * total / np.sqrt(self.squares[k][ids])[:, None]
+            net.p[k][ids] -= TABLE_RATE * total / np.sqrt(self.squares[k][ids])[:, None]
 
 
 class _Sub:
@@ -369,14 +360,15 @@ def _highest(net: Network, v: Vocabulary) -> np.ndarray:
     return np.maximum.reduceat(logit, np.searchsorted(doc, np.arange(len(v.count)))).astype(np.float64)
 
 
-def _calibrate(net: Network, z: np.ndarray, labels: np.ndarray) -> None:
+def _calibrate(net: Network, z: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> None:
+    """Put the threshold of best F1 at ``CUT``; each sampled text counts as the labelled rows that it stands for."""
     order = np.argsort(-z)
-    hits = np.cumsum(labels[order])
-    wrong = np.arange(1, len(z) + 1) - hits
-    f1 = 2 * hits / (hits + CLEAN_WEIGHT * wrong + labels.sum())
+    hits = np.cumsum((labels * weights)[order])
+    wrong = np.cumsum(((1 - labels) * weights)[order])
+    f1 = 2 * hits / (hits + wrong + (labels * weights).sum())
     best = int(np.argmax(f1))
     top = z[order]
-    at = 0.85 * top[best] + 0.15 * top[min(best + 1, len(top) - 1)]
+    at = (top[best] + top[min(best + 1, len(top) - 1)]) / 2
     slope = min(2.0, max(0.5, 4.0 / max(1e-3, float(np.std(z)))))
     net.map = (slope, float(np.log(CUT / (1 - CUT)) - slope * at))
 
@@ -385,13 +377,22 @@ def _calibrate(net: Network, z: np.ndarray, labels: np.ndarray) -> None:
 
 
 def fit(labelled: DataFrame) -> Network:
-    """Train on a bounded sample (text, label); texts beyond ``FIT_CHARS`` serve only for scoring."""
-    rows = labelled.filter(F.length(F.coalesce("text", F.lit(""))) <= FIT_CHARS).select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
-    found = sorted((r["text"], r["label"]) for r in rows.collect())  # as many as the sample's bound, each as long as FIT_CHARS at most
-    net = train([t for t, _ in found], np.array([y for _, y in found], np.int64))
-    del found
-    give_back()
-    return net
+    """Train on a bounded sample (text, label, weight), in one executor task.
+
+    A text beyond ``FIT_CHARS`` gives one piece of so many characters, chosen by its hash, if it is clean; a toxic one is left
+    out, as its piece may be clean.
+    """
+    text = F.coalesce("text", F.lit(""))
+    n = F.length(text)
+    weight = F.col("weight") if "weight" in labelled.columns else F.lit(1.0)
+    piece = F.pmod(F.xxhash64(text), F.ceil(n / FIT_CHARS)).cast("int")
+    rows = labelled.filter((n <= FIT_CHARS) | (F.col("label") == 0)).select(F.substr(text, piece * FIT_CHARS + 1, F.lit(FIT_CHARS)).alias("text"), F.col("label").cast("int").alias("label"), weight.cast("double").alias("weight"))
+
+    def make(table: pa.Table) -> Network:
+        found = sorted(zip(*(table.column(k).to_pylist() for k in range(3)), strict=True))
+        return train([t for t, _, _ in found], np.array([y for _, y, _ in found], np.int64), np.array([w for _, _, w in found]))
+
+    return fitted(rows, make)
 
 
 def score(docs: DataFrame, net: Network, cut_at: float = CUT, text: str = "text", key: str = "doc_id") -> DataFrame:
