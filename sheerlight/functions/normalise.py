@@ -10,6 +10,7 @@ from .text import class_of
 
 TAGS = [0xE0000 + i for i in range(128)]
 REMOVED = sorted(V.INVISIBLE) + TAGS
+REMOVED_SET = frozenset(map(chr, REMOVED))
 #: What the first normaliser takes away, as a class.
 REMOVED_CLASS = class_of(sorted(V.INVISIBLE))[:-1] + r"\x{e0000}-\x{e007f}]"
 #: What the second one takes away.

@@ -116,3 +116,24 @@ ATTRIBUTES = ("aria-label", "title")
 
 # Colours by severity.
 COLOURS = {"high": "#e5484d", "medium": "#f5a623", "low": "#3b82f6"}
+
+# What types with a decoded text are called, and the sentences for pages without findings and for those that can't be scanned.
+DECODED_LABELS = {
+    "encoded-percent": "Percent-encoded blob",
+    "encoded-hex-escape": "Hex-escaped blob",
+    "encoded-spaced-hex": "Space-separated hex byte blob",
+    "encoded-unicode-escape": "\\uXXXX-escaped blob",
+    "encoded-html-entity": "HTML-entity-encoded blob",
+    "variation-selector-smuggling": "Hidden variation-selector payload",
+    "sneaky-bits-smuggling": "Hidden invisible-bit-encoded payload",
+}
+NOTHING = "No hidden content or injection markers found."
+CANNOT = "Can't scan this page."
+
+# The words of the other labels.
+TAG_LABEL, TAG_DECODED = "Invisible ASCII-smuggling character", " → decodes to: "
+INVISIBLE_LABEL, BASE64_LABEL, JWT_LABEL, TOKEN_LABEL = "Invisible character: ", "Encoded blob", " (looks like a JWT)", "LLM chat-template control token: "
+HIDDEN_LABEL, A11Y_LABEL = "Visually hidden text (", " — looks like accessibility markup, downgraded"
+PHRASE_LABEL, REVEALED_LABEL = "Instruction-like phrase", " (revealed after removing invisible characters)"
+MARKS_LABEL, MARKS_END = "Excessive combining diacritical marks (", " marks on one character)"
+COMMENT_LABEL = " (in an HTML comment)"

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..functions.normalise import DROPPED_CLASS, NEAR_ODD, REMOVED_CLASS, beyond_ascii, deobfuscate, strip_invisible
-from ..functions.text import any_of, class_of, cut, java, keyword, located, raw_offset, readable, units
+from ..functions.text import any_of, bound, class_of, cut, in_units, java, keyword, located, readable, units, with_raw_offsets
 
 FIELDS = {
     "type": "string", "severity": "string", "index": "int", "code_point": "int", "hex": "string", "name": "string", "sample": "string", "decoded": "string",
@@ -22,8 +23,16 @@ FIELDS = {
 SCHEMA = "array<struct<" + ",".join(f"{k}:{v}" for k, v in FIELDS.items()) + ">>"
 
 
+_NULLS: dict[object, dict[str, Column]] = {}
+
+
 def finding(**parts: Column) -> Column:
-    return F.struct(*[parts.get(k, F.lit(None)).cast(v).alias(k) for k, v in FIELDS.items()])
+    """A struct of all fields; null columns are made once a context, as each costs several calls to the JVM."""
+    sc = SparkContext._active_spark_context
+    if sc not in _NULLS:
+        _NULLS.clear()
+        _NULLS[sc] = {k: F.lit(None).cast(v).alias(k) for k, v in FIELDS.items()}
+    return F.struct(*[parts[k].cast(v).alias(k) if k in parts else _NULLS[sc][k] for k, v in FIELDS.items()])
 
 
 def none() -> Column:
@@ -50,10 +59,10 @@ def invisible(text: Column) -> Column:
     tags = F.array_join(F.regexp_extract_all(text, F.lit(r"[\x{e0020}-\x{e007e}]+"), F.lit(0)), "")
     message = F.when(tags != "", F.translate(tags, spoken, "".join(chr(i) for i in range(0x20, 0x7F))))
     hits = located(text, f"(?=[^\\x00-\\x7f]){REMOVED_CLASS}")
-    first_tag = F.array_min(F.transform(F.filter(hits, lambda h: h["hit"] >= chr(0xE0000)), lambda h: h["at"]))
+    is_tag = lambda h: h["hit"] >= chr(0xE0000)
 
-    def one(h: Column) -> Column:
-        tag = h["hit"] >= chr(0xE0000)
+    def one(h: Column, first_tag: Column) -> Column:
+        tag = is_tag(h)
         point = F.ascii(h["hit"])
         raw = F.hex(point.cast("long"))
         return finding(
@@ -66,7 +75,8 @@ def invisible(text: Column) -> Column:
             decoded=F.when(tag & (h["at"] == first_tag), message),
         )
 
-    return F.when(beyond_ascii(text) & text.rlike(NEAR_ODD), F.transform(hits, one)).otherwise(none())
+    with_first = lambda hs: bound(F.get(F.filter(hs, is_tag), F.lit(0))["at"], lambda first: F.transform(hs, lambda h: one(h, first)))
+    return F.when(beyond_ascii(text) & text.rlike(NEAR_ODD), bound(hits, with_first)).otherwise(none())
 
 
 def _payload(kind: str, hits: Column, decode: Callable[[Column], Column], length: Callable[[Column], Column]) -> Column:
@@ -122,10 +132,13 @@ def from_base64(s: Column) -> Column:
     return F.decode(F.try_to_binary(padded, F.lit("base64")), "ISO-8859-1")
 
 
-def jwt_like(text: Column, at: Column, length: Column) -> Column:
-    """Whether the run lies in the first dotted triple of its surroundings, whose first part decodes to a token header."""
+def jwt_like(flat: Column, at: Column, length: Column) -> Column:
+    """Whether the run lies in the first dotted triple of its surroundings, whose first part decodes to a token header.
+
+    ``flat`` is the text with places that are UTF-16 offsets.
+    """
     first = F.greatest(F.lit(0), at - V.JWT_WINDOW)
-    window = F.substr(text, first + 1, at - first + length + V.JWT_WINDOW)
+    window = F.substr(flat, first + 1, at - first + length + V.JWT_WINDOW)
     triple = r"[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"
     hit = F.regexp_extract(window, triple, 0)
     start = first + F.regexp_instr(window, F.lit(triple)) - 1
@@ -135,15 +148,16 @@ def jwt_like(text: Column, at: Column, length: Column) -> Column:
 
 
 def _decoded(kind: str, level: str, text: Column, run: str, decode: Callable[[Column], Column], jwt: bool = False) -> Column:
-    def one(h: Column) -> Column:
-        plain = decode(h["hit"])
+    def told(h: Column, plain: Column, flat: Column | None) -> Column:
         parts = {"type": F.lit(kind), "severity": F.lit(level), "index": h["at"], "sample": cut(h["hit"], V.SAMPLE_CUT, "…"), "decoded": cut(plain, V.DECODED_CUT)}
-        if jwt:
-            like = jwt_like(text, h["at"], units(h["hit"]))
-            parts |= {"severity": F.when(like, "low").otherwise(level), "likely_jwt": F.when(like, F.lit(True))}
-        return F.when(plain.isNotNull() & readable(plain), finding(**parts))
+        if flat is not None:
+            make = lambda like: finding(**parts | {"severity": F.when(like, "low").otherwise(level), "likely_jwt": F.when(like, F.lit(True))})
+            return bound(jwt_like(flat, h["at"], units(h["hit"])), make)
+        return finding(**parts)
 
-    return when_seen(text, run, F.filter(F.transform(located(text, run), one), lambda f: f.isNotNull()))
+    each = lambda flat: F.transform(located(text, run), lambda h: bound(decode(h["hit"]), lambda plain: F.when(plain.isNotNull() & readable(plain), told(h, plain, flat))))
+    found = bound(in_units(text), each) if jwt else each(None)
+    return when_seen(text, run, F.filter(found, lambda f: f.isNotNull()))
 
 
 BASE64_RUN = rf"[A-Za-z0-9+/]{{{V.BASE64_LEAST},}}+={{0,2}}"
@@ -220,16 +234,15 @@ def _first_matches(kind: str, level: str, text: Column, patterns: dict[str, str]
 
     One pattern made of all of them spares most texts the rest; in the others, a word that a pattern needs is looked for first.
     """
-    more = {"normalized": F.lit(True)} if normalized else {}
-
     def one(name: str, p: str, low: Column) -> Column:
-        at = F.regexp_instr(text, F.lit(java(p)))
-        found = F.when(at > 0, finding(type=F.lit(kind), severity=F.lit(level), index=at - 1, match=cut(F.regexp_extract(text, java(p), 0), V.MATCH_CUT), pattern=F.lit(name), **more))
+        hit = bound(F.regexp_instr(text, F.lit(java(p))), lambda at: F.when(at > 0, F.struct((at - 1).alias("at"), F.regexp_extract(text, java(p), 0).alias("match"), F.lit(name).alias("pattern"))))
         needed = keyword(p)
-        return F.when(F.contains(low, F.lit(needed)), found) if needed else found
+        return F.when(F.contains(low, F.lit(needed)), hit) if needed else hit
 
-    each = lambda low: F.filter(F.array(*[one(n, p, low) for n, p in patterns.items()]), lambda f: f.isNotNull())
-    return when_seen(text, any_of(list(patterns.values())), F.element_at(F.transform(F.array(F.lower(text)), each), 1))
+    more = {"normalized": F.lit(True)} if normalized else {}
+    told = lambda h: finding(type=F.lit(kind), severity=F.lit(level), index=h["at"], match=cut(h["match"], V.MATCH_CUT), pattern=h["pattern"], **more)
+    each = lambda low: F.transform(F.filter(F.array(*[one(n, p, low) for n, p in patterns.items()]), lambda h: h.isNotNull()), told)
+    return when_seen(text, any_of(list(patterns.values())), bound(F.lower(text), each))
 
 
 def instructions(text: Column) -> Column:
@@ -244,11 +257,16 @@ def spaced_instructions(text: Column) -> Column:
     return _first_matches("instruction-phrase", "low", text, V.SPACED, normalized=True)
 
 
-CONTENT = {"base64": base64, "percent": percent, "hex_escape": hex_escape, "spaced_hex": spaced_hex, "unicode_escape": unicode_escape, "html_entities": html_entities, "control_tokens": control_tokens, "instructions": instructions}
+ENCODINGS = {"base64": base64, "percent": percent, "hex_escape": hex_escape, "spaced_hex": spaced_hex, "unicode_escape": unicode_escape, "html_entities": html_entities}
+
+
+def encoded(text: Column) -> Column:
+    """All encodings, and control tokens."""
+    return F.concat(*[d(text) for d in ENCODINGS.values()], control_tokens(text))
 
 
 def content(text: Column) -> Column:
-    return F.concat(*[d(text) for d in CONTENT.values()])
+    return F.concat(encoded(text), instructions(text))
 
 
 # ------------------------------------------------------------------------------------------------ all of them
@@ -264,7 +282,8 @@ def _unseen(found: Column, seen: Column) -> Column:
 
 
 def _revealed(found: Column, text: Column, removed: str) -> Column:
-    return F.transform(found, lambda f: f.withField("index", raw_offset(text, removed, f["index"])).withField("normalized", F.lit(True)))
+    whole = lambda fs: F.when(F.size(fs) > 0, with_raw_offsets(F.transform(fs, lambda f: f.withField("normalized", F.lit(True))), text, removed)).otherwise(none())
+    return bound(found, whole)
 
 
 class TextScan:
@@ -279,18 +298,19 @@ class TextScan:
 
     def apply(self, df):
         t, own = F.col(self.text), f"__{self.out}"
-        stripped, plain = F.col(f"{own}_stripped"), F.col(f"{own}_plain")
-        df = df.withColumns({f"{own}_stripped": strip_invisible(t), f"{own}_plain": deobfuscate(t), f"{own}_raw": content(t)})
-        raw = F.col(f"{own}_raw")
-        bare = F.when(stripped != t, _revealed(_unseen(content(stripped), raw), t, REMOVED_CLASS)).otherwise(none())
-        df = df.withColumn(f"{own}_bare", bare)
-        so_far = F.concat(raw, F.col(f"{own}_bare"))
-        clear = F.when(plain != t, _revealed(_unseen(instructions(plain), so_far), t, DROPPED_CLASS)).otherwise(none())
-        df = df.withColumn(f"{own}_clear", clear)
+        stripped, plain, codes, phrases = (F.col(f"{own}_{k}") for k in ("stripped", "plain", "codes", "phrases"))
+        df = df.withColumns({f"{own}_stripped": strip_invisible(t), f"{own}_plain": deobfuscate(t)})
+        # The same detectors read the text and what the normalisers made of it; a null stands for a text that they left alone.
+        bare = F.when(stripped != t, stripped)
+        df = df.withColumns({f"{own}_codes": F.transform(F.array(t, bare), encoded), f"{own}_phrases": F.transform(F.array(t, bare, F.when(plain != t, plain)), instructions)})
+        raw = F.concat(codes[0], phrases[0])
+        df = df.withColumns({f"{own}_raw": raw, f"{own}_bare": _revealed(_unseen(F.concat(codes[1], phrases[1]), raw), t, REMOVED_CLASS)})
+        so_far = F.concat(F.col(f"{own}_raw"), F.col(f"{own}_bare"))
+        df = df.withColumn(f"{own}_clear", _revealed(_unseen(phrases[2], so_far), t, DROPPED_CLASS))
         apart = _unseen(spaced_instructions(t), F.concat(so_far, F.col(f"{own}_clear")))
         odd = F.when(beyond_ascii(t) & t.rlike(NEAR_ODD), F.concat(invisible(t), variation_selectors(t), sneaky_bits(t), combining_marks(t))).otherwise(none())
         whole = F.concat(odd, so_far, F.col(f"{own}_clear"), apart)
-        return df.withColumn(self.out, F.when(t.isNull(), none()).otherwise(whole)).drop(*[f"{own}_{k}" for k in ("stripped", "plain", "raw", "bare", "clear")])
+        return df.withColumn(self.out, F.when(t.isNull(), none()).otherwise(whole)).drop(*[f"{own}_{k}" for k in ("stripped", "plain", "codes", "phrases", "raw", "bare", "clear")])
 
 
 def scan_text(df, text: str = "text", out: str = "findings"):

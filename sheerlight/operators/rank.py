@@ -75,6 +75,29 @@ def markers(capped: DataFrame, key: str = "page_id") -> DataFrame:
     return grouped.select(key, "target_id", level.alias("severity"), colour(level).alias("colour"), "ranks")
 
 
+def element_marks(items: DataFrame, key: str = "page_id") -> DataFrame:
+    """For each element with a finding: the severity it is marked with while its page is walked, before anything is merged or capped.
+
+    A text marks its element with its worst finding, whatever the mark was; a hiding style marks it with its own severity unless the mark is
+    worse; an attribute overwrites the mark again.  Passes come in that order, and within one the last wins.
+    """
+    each = with_targets(items, key).filter(F.col("target_id").isNotNull())
+    nodes = each.groupBy(key, "target_id", "seq.pass", "seq.ord").agg(F.min(severity_rank(F.col("severity"))).alias("w"))
+    last = lambda k: F.max_by(F.when(F.col("pass") == k, F.col("w")), F.when(F.col("pass") == k, F.col("ord")))
+    found = nodes.groupBy(key, "target_id").agg(last(1).alias("t"), F.min(F.when(F.col("pass") == 2, F.col("w"))).alias("c"), last(3).alias("a"))
+    level = F.get(F.array(*[F.lit(x) for x in V.SEVERITIES]), F.coalesce("a", F.least("t", "c")))
+    return found.select(key, "target_id", level.alias("mark"), colour(level).alias("colour"))
+
+
+def lookup(items: DataFrame, ids: DataFrame, key: str = "page_id") -> DataFrame:
+    """For each (key, ``target_id``) of ``ids``: the path of roots that leads to the element, the element, and where its first finding stands.
+
+    An id that the page doesn't have, as one of a page that was scanned again, gives nulls.
+    """
+    first = with_targets(items, key).filter(F.col("target_id").isNotNull()).groupBy(key, "target_id").agg(F.min_by(F.struct("seq.path", "element", "context"), "seq").alias("f"))
+    return ids.join(first, [key, "target_id"], "left").select(key, "target_id", "f.*")
+
+
 def colour(severity: Column) -> Column:
     return F.when(severity == "high", V.COLOURS["high"]).when(severity == "medium", V.COLOURS["medium"]).otherwise(V.COLOURS["low"])
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 from ..functions import values as V
 from .dom import Node, body_of, parent_or_host, scope
@@ -73,6 +73,9 @@ class Selector:
         if not self.parts:
             raise ValueError(text)
         self.weight = tuple(counts)
+        last = [m for m in _SIMPLE.finditer(tokens[-1])] if tokens[-1].strip() not in ("", ">") else []
+        #: What an element must have to match: an id, a class or a tag; the last one told is as good as any.
+        self.needs = next((f"#{m[2]}" if m[2] else f".{m[3]}" if m[3] else m[1].lower() for m in last if m[2] or m[3] or (m[1] and m[1] != "*")), "")
 
     @staticmethod
     def _test(m: re.Match[str], counts: list[int]) -> Callable[[Node], bool]:
@@ -95,21 +98,21 @@ class Selector:
         check = checks[op]
         return lambda e: name in e.attrs and check(e.attrs[name])
 
-    def matches(self, e: Node, at: int | None = None) -> bool:
-        at = len(self.parts) - 1 if at is None else at
-        tie, tests = self.parts[at]
-        if not all(t(e) for t in tests):
+    def matches(self, e: Node) -> bool:
+        """Part by part from the last on, with the places of the chain above ``e`` that can hold the part; steps are parts times depth at most."""
+        if not all(t(e) for t in self.parts[-1][1]):
             return False
-        if at == 0:
-            return True
-        p = e.parent
-        while p is not None and p.kind == "element":
-            if self.matches(p, at - 1):
-                return True
-            if tie == ">":
+        chain: list[Node] = []
+        while e is not None and e.kind == "element" and len(self.parts) > 1:
+            chain.append(e)
+            e = e.parent
+        at = [0]
+        for k in range(len(self.parts) - 2, -1, -1):
+            near = [x + 1 for x in at] if self.parts[k + 1][0] == ">" else range(at[0] + 1, len(chain))
+            at = [x for x in near if x < len(chain) and all(t(chain[x]) for t in self.parts[k][1])]
+            if not at:
                 return False
-            p = p.parent
-        return False
+        return True
 
 
 def rules(sheet: str) -> list[tuple[Selector, list[tuple[str, str, bool]]]]:
@@ -147,7 +150,7 @@ def colour(value: str) -> str | None:
         h = m[1] if len(m[1]) > 4 else "".join(c * 2 for c in m[1])
         parts = [int(h[i : i + 2], 16) for i in range(0, len(h), 2)]
     elif m := re.fullmatch(rf"rgba?\(\s*({_NUMBER}%?)[\s,]+({_NUMBER}%?)[\s,]+({_NUMBER}%?)(?:[\s,/]+({_NUMBER}%?))?\s*\)", v):
-        level = lambda x: max(0, min(255, round(float(x[:-1]) * 2.55 if x.endswith("%") else float(x))))
+        level = lambda x: max(0, min(255, round(min(1e6, max(-1e6, float(x[:-1]) * 2.55 if x.endswith("%") else float(x))))))
         parts = [level(m[i]) for i in (1, 2, 3)]
         if m[4]:
             parts.append(float(m[4][:-1]) / 100 if m[4].endswith("%") else float(m[4]))
@@ -214,63 +217,96 @@ def pixels(x: float) -> str:
     return f"{x:g}px"
 
 
-class Styles:
-    """Declared styles of a root's elements, and what hides each one's text, in document order.
-
-    An element whose text had a finding is made visible before styles are looked at, and one that hides its text right after;
-    so an element below, which would only inherit the trick, is not told again.
-    """
+class Sheet:
+    """The rules of a root's sheets by what an element needs to match them."""
 
     def __init__(self, root: Node):
-        self.root = root
-        sheets = ["".join(c.text for c in e.children) for e in root.elements() if e.tag == "style"]
-        self.rules = [r for s in sheets for r in rules(s)]
-        self.document = root
-        while self.document.kind != "document":
-            top = self.document.host
-            while top.parent is not None:
-                top = top.parent
-            self.document = top
-        self.declared: dict[int, dict[str, tuple[str, bool]]] = {}
-        self.forced: dict[int, dict[str, str]] = {}
-        self.fonts: dict[int, float] = {}
+        self.by: dict[str, list[tuple[int, Selector, list[tuple[str, str, bool]]]]] = {}
+        for order, (s, ds) in enumerate(r for e in root.elements() if e.tag == "style" for r in rules("".join(c.text for c in e.children))):
+            self.by.setdefault(s.needs, []).append((order, s, ds))
 
-    def own(self, e: Node) -> dict[str, tuple[str, bool]]:
+    def declared(self, e: Node) -> dict[str, tuple[str, bool]]:
         """property: (value, whether it can't be overridden from the style attribute)."""
-        if id(e) in self.declared:
-            return self.declared[id(e)]
         found = []
-        if self._root_of(e) is self.root:
-            for order, (s, ds) in enumerate(self.rules):
+        if self.by:
+            names = {"", e.tag, f"#{e.attrs.get('id', '')}", *(f".{c}" for c in e.attrs.get("class", "").split())}
+            for order, s, ds in (r for n in names for r in self.by.get(n, ())):
                 if s.matches(e):
                     found += [((strong, 0, s.weight, order), n, v, strong) for n, v, strong in ds]
-        found += [((strong, 1, (0, 0, 0), i), n, v, strong) for i, (n, v, strong) in enumerate(declarations(e.attrs.get("style", "")))]
-        out: dict[str, tuple[str, bool]] = {}
-        for key, n, v, strong in sorted(found, key=lambda x: x[0]):
-            out[n] = (v, strong and key[1] == 0)
-        self.declared[id(e)] = out
-        return out
+        if style := e.attrs.get("style"):
+            found += [((strong, 1, (0, 0, 0), i), n, v, strong) for i, (n, v, strong) in enumerate(declarations(style))]
+        return {n: (v, strong and key[1] == 0) for key, n, v, strong in sorted(found, key=lambda x: x[0])}
 
-    @staticmethod
-    def _root_of(e: Node) -> Node:
-        while e.parent is not None:
-            e = e.parent
-        return e
 
-    def value(self, e: Node, name: str) -> str | None:
-        forced = self.forced.get(id(e), {}).get(name)
-        own = self.own(e).get(name)
+def style_records(found: list[Node], numbers: dict[int, int]) -> list[list]:
+    """What decides which elements of a page hide their texts, without the page; nothing if no style is declared.
+
+    Records [root, element, place of the parent (or host) among the records or -1, declared styles, own text, whether marked for
+    screen readers, place of the document's first element].  Elements that declare nothing and have no text of their own are
+    left out, but for a document's first two.
+    """
+    out: list[list] = []
+    place: dict[int, int] = {}
+    first: dict[int, int] = {}
+    any_style = False
+    for k, r in enumerate(found):
+        if r.kind == "outside":
+            continue
+        sheet = Sheet(r)
+        if r.kind == "document":
+            document = len(out)
+            chain = [r.children[0], body_of(r)]
+        else:
+            document = first[id(_root_of(r.host))]
+            chain = []
+        first[id(r)] = document
+        for e in [*chain, *scope(r).elements()]:
+            own = sheet.declared(e)
+            text = "" if e.tag.upper() in V.SKIP_TAGS or e in chain else direct_text(e)
+            if own or text or e in chain:
+                p = parent_or_host(e)
+                while p is not None and id(p) not in place:
+                    p = parent_or_host(p)
+                place[id(e)] = len(out)
+                any_style |= bool(own)
+                out.append([k, numbers.get(id(e), -1), -1 if p is None else place[id(p)], own, text, a11y_hidden(e), document])
+    return out if any_style else []
+
+
+def _root_of(e: Node) -> Node:
+    while e.parent is not None:
+        e = e.parent
+    return e
+
+
+class Styles:
+    """Styles of a page's elements, and what hides each one's text, in document order; elements are places of ``style_records``.
+
+    An element whose text had a finding is made visible before styles are looked at, and one that hides its text right after;
+    so an element below, which would only inherit the trick, is not told again.
+    """
+
+    def __init__(self, records: list[list]):
+        self.up = [r[2] for r in records]
+        self.declared = [r[3] for r in records]
+        self.document = [r[6] for r in records]
+        self.forced: dict[int, dict[str, str]] = {}
+        self.fonts: dict[int, float] = {}
+
+    def value(self, e: int, name: str) -> str | None:
+        forced = self.forced.get(e, {}).get(name)
+        own = self.declared[e].get(name)
         if forced is not None and not (own and own[1]):
             return forced
         return own[0] if own else None
 
-    def font(self, e: Node) -> float:
+    def font(self, e: int) -> float:
         chain = []
-        p: Node | None = e
-        while p is not None and id(p) not in self.fonts:
+        p = e
+        while p >= 0 and p not in self.fonts:
             chain.append(p)
-            p = parent_or_host(p)
-        size = self.fonts[id(p)] if p is not None else 16.0
+            p = self.up[p]
+        size = self.fonts[p] if p >= 0 else 16.0
         for x in reversed(chain):
             v = self.value(x, "font-size")
             if v in SIZES:
@@ -279,33 +315,32 @@ class Styles:
                 size *= float(m[1]) / 100
             elif v and not math.isnan(n := length(v, size)):
                 size = n
-            self.fonts[id(x)] = size
+            self.fonts[x] = size
         return size
 
-    def inherited(self, e: Node, name: str) -> str | None:
-        p: Node | None = e
-        while p is not None:
-            v = self.value(p, name)
+    def inherited(self, e: int, name: str) -> str | None:
+        while e >= 0:
+            v = self.value(e, name)
             if v and v != "inherit":
                 return v
-            p = parent_or_host(p)
+            e = self.up[e]
         return None
 
-    def background(self, e: Node) -> str | None:
+    def background(self, e: int) -> str | None:
         """The colour behind an element's text: its own, the nearest one above, the body's or the page's; never a guess."""
         of = lambda x: colour(self.value(x, "background-color") or "") or TRANSPARENT
-        html = self.document.children[0]
+        html = self.document[e]
         found = of(e)
-        p = parent_or_host(e)
-        while transparent(found) and p is not None and p is not html:
+        p = self.up[e]
+        while transparent(found) and p >= 0 and p != html:
             found = of(p)
-            p = parent_or_host(p)
-        for x in (body_of(self.document), html):
+            p = self.up[p]
+        for x in (html + 1, html):
             if transparent(found):
                 found = of(x)
         return None if transparent(found) else found
 
-    def reasons(self, e: Node) -> list[str]:
+    def reasons(self, e: int) -> list[str]:
         out = []
         font = self.font(e)
         if font <= 1:
@@ -332,10 +367,10 @@ class Styles:
             out.append("text color = background")
         return out
 
-    def _far(self, e: Node, font: float) -> bool:
+    def _far(self, e: int, font: float) -> bool:
         return self.value(e, "position") == "absolute" and (length(self.value(e, "left"), font) < -1000 or length(self.value(e, "top"), font) < -1000)
 
-    def reveal(self, e: Node) -> None:
+    def reveal(self, e: int) -> None:
         font = self.font(e)
         new: dict[str, str] = {}
         if font <= 1:
@@ -348,7 +383,7 @@ class Styles:
         if length(self.inherited(e, "text-indent"), font) < -1000:
             new["text-indent"] = "0"
         if new:
-            self.forced.setdefault(id(e), {}).update(new)
+            self.forced.setdefault(e, {}).update(new)
             self.fonts.clear()
 
 
@@ -367,19 +402,25 @@ def trim(s: str) -> str:
     return s.strip(_SPACE)
 
 
-def hidden_elements(root: Node, found: Iterable[Node], mask_revealed: bool = True) -> list[tuple[Node, list[str], bool, str]]:
-    """(element, reasons, whether marked for screen readers, its own text) in document order; ``found`` had findings in their texts."""
-    styles = Styles(root)
-    if mask_revealed:
-        for e in found:
-            styles.reveal(e)
+def hidden_elements(records: list[list], hits: set[int], mask_revealed: bool = True) -> list[tuple[int, int, list[str], bool, str]]:
+    """(root, element, reasons, whether marked for screen readers, its own text), root by root in document order.
+
+    ``hits`` are the elements whose texts had findings.
+    """
+    styles = Styles(records)
     out = []
-    for e in scope(root).elements():
-        if e.tag.upper() in V.SKIP_TAGS or not (text := direct_text(e)):
-            continue
-        why = styles.reasons(e)
-        if why:
-            out.append((e, why, a11y_hidden(e), text))
-            if mask_revealed:
-                styles.reveal(e)
+    by_root: dict[int, list[int]] = {}
+    for i, r in enumerate(records):
+        by_root.setdefault(r[0], []).append(i)
+    for mine in by_root.values():
+        if mask_revealed:
+            for i in mine:
+                if records[i][1] in hits:
+                    styles.reveal(i)
+        for i in mine:
+            root, element, _, _, text, a11y, _ = records[i]
+            if text and (why := styles.reasons(i)):
+                out.append((root, element, why, a11y, text))
+                if mask_revealed:
+                    styles.reveal(i)
     return out

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEAD = frozenset("base link meta title style script noscript template".split())
@@ -30,7 +31,9 @@ BLOCKS = frozenset("address article aside blockquote details div dl fieldset fig
 
 
 class Node:
-    """An element (``tag``), a text or a comment; ``shadow`` is an element's open shadow root, ``frame`` an inline document."""
+    """An element (``tag``), a text or a comment; ``shadow`` is an element's open shadow root, ``frame`` what an inline frame holds: a
+    document, or an ``outside`` node with the address of one.
+    """
 
     __slots__ = ("kind", "tag", "attrs", "text", "parent", "children", "shadow", "frame", "host")
 
@@ -81,6 +84,7 @@ class _Builder(HTMLParser):
         self.open: list[Node] = []
         self.quiet = 0  # inside templates and noscript nothing is part of the page
         self.after: Node | None = None
+        self.frames: list[tuple[Node, str]] = []  # frames whose documents are still to be parsed
 
     def top(self) -> Node:
         if self.body is None and not self.open:
@@ -123,8 +127,13 @@ class _Builder(HTMLParser):
             self.quiet = 1
             return
         node = place.add(Node("element", tag, given))
-        if tag == "iframe" and "srcdoc" in given:
-            node.frame = parse(given["srcdoc"])
+        if tag == "base" and "href" in given:
+            self.document.attrs.setdefault("base", given["href"].strip())
+        if tag == "iframe" and ("sandbox" not in given or "allow-same-origin" in given["sandbox"].lower().split()):
+            if "srcdoc" in given:
+                self.frames.append((node, given["srcdoc"]))
+            elif given.get("src", "").strip():
+                node.frame = Node("outside", text=given["src"].strip())
         if tag not in VOID:
             self.open.append(node)
 
@@ -178,32 +187,58 @@ class _Builder(HTMLParser):
         place = self.open[-1] if self.open else (self.after or self.body or self.head)
         place.add(Node("comment", text=data))
 
-    def unknown_decl(self, data: str) -> None:
-        self.handle_comment(f"[{data}]")
+    def parse_html_declaration(self, i: int) -> int:
+        """A marked section is a comment up to the next ``>``, whatever stands in it."""
+        return self.parse_bogus_comment(i) if self.rawdata.startswith("<![", i) else super().parse_html_declaration(i)
 
 
 def parse(html: str) -> Node:
-    """The document; it always has a body."""
-    b = _Builder()
-    b.feed(html)
-    b.close()
-    if b.body is None:
-        b.body = b.html.add(Node("element", "body"))
-    return b.document
+    """The document, with those of its inline frames; each has a body."""
+    whole: Node | None = None
+    todo: list[tuple[Node | None, str]] = [(None, html)]
+    while todo:
+        owner, text = todo.pop()
+        b = _Builder()
+        b.feed(text)
+        b.close()
+        if b.body is None:
+            b.body = b.html.add(Node("element", "body"))
+        if owner is None:
+            whole = b.document
+        else:
+            owner.frame = b.document
+        todo += b.frames
+    return whole
 
 
 def body_of(document: Node) -> Node:
     return next(n for n in document.children[0].children if n.tag == "body")
 
 
-def roots(start: Node) -> Iterator[Node]:
-    """A document or shadow root, then those below it in document order: shadow roots first, then the frame, of each element."""
-    yield start
-    for e in start.elements():
-        if e.shadow is not None:
-            yield from roots(e.shadow)
-        if e.frame is not None:
-            yield from roots(e.frame)
+def roots(start: Node, address: str = "") -> list[Node]:
+    """A document or shadow root, then those below it in document order: shadow roots first, then the frame, of each element.
+
+    A frame that holds another page is an ``outside`` root, with the whole ``address`` among its attributes.
+    """
+    out: list[Node] = []
+    stack = [(start, address)]
+    while stack:
+        root, base = stack.pop()
+        out.append(root)
+        if root.kind == "outside":
+            root.attrs["address"] = _joined(base, root.text)
+            continue
+        base = _joined(base, root.attrs.get("base", "")) if root.kind == "document" else base
+        below = [(x, base) for e in scope(root).elements() for x in (e.shadow, e.frame) if x is not None]
+        stack += below[::-1]
+    return out
+
+
+def _joined(base: str, address: str) -> str:
+    try:
+        return urljoin(base, address)
+    except ValueError:  # no address
+        return ""
 
 
 def scope(root: Node) -> Node:

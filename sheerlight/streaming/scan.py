@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.detect import scan_text
-from ..plans.scan import page_summary
+from ..plans.scan import PageScan
 
 
 def scan_text_stream(stream: DataFrame, text: str = "text", out: str = "findings") -> DataFrame:
@@ -17,5 +17,16 @@ def scan_text_stream(stream: DataFrame, text: str = "text", out: str = "findings
 
 
 def scan_page_stream(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Summaries of each batch of pages, handed to ``sink`` with the batch's number; a repeated batch has the same number."""
-    return stream.writeStream.foreachBatch(lambda batch, number: sink(page_summary(batch), number)).option("checkpointLocation", checkpoint).start()
+    """Summaries of each batch of pages, handed to ``sink`` with the batch's number; a repeated batch has the same number.
+
+    What a batch's scan keeps is released when the sink returns.
+    """
+
+    def one(batch: DataFrame, number: int) -> None:
+        found = PageScan(batch)
+        try:
+            sink(found.summary(), number)
+        finally:
+            found.release()
+
+    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).start()
