@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import pickle
 import re
 import tempfile
@@ -66,6 +68,14 @@ def delete_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def give_back() -> None:
+    """Return memory that training has freed to the system, where the C library can; workers live on."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 Fitted = TypeVar("Fitted")
 
 
@@ -79,7 +89,10 @@ def fitted(rows: DataFrame, fit: Callable[[pa.Table], Fitted]) -> Fitted:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(pa.Table.from_batches(held)))], pa.binary())], names=["model"])
+            model = pickle.dumps(fit(pa.Table.from_batches(held)))
+            held.clear()
+            give_back()
+            yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
 
     found = rows.repartition(1).mapInArrow(run, "model binary").collect()
     return pickle.loads(found[0]["model"]) if found else fit(pa.table({n: [] for n in names}))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, fitted, mix, small_batches, span_hashes, text_chunks
+from .common import Words, fitted, give_back, mix, small_batches, span_hashes, text_chunks
 
 SAMPLE = {0: 2600, 1: 1300}
 FIT_CHARS = 8000
@@ -254,6 +254,7 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray | None = Non
     held = order[::5]
     used = np.sort(np.setdiff1d(order, held)) if len(np.unique(labels[np.setdiff1d(order, held)])) == 2 else np.sort(order)
     v, y = _vocabulary([texts[i] for i in used]), labels[used].astype(np.int64)
+    give_back()
     # What only a few texts hold has no vector: it would tell the texts, not the label.
     for name, seen in zip(("word", "gram"), _seen(v, LEAST_TEXTS), strict=True):
         net.p[name][~seen] = 0
