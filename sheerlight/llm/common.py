@@ -145,11 +145,16 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, str] | None = No
     return out.drop("_part")
 
 
-def _lookup(values: dict[int, int], key: Column) -> Column:
+def long_array(values: list[int | None]) -> Column:
+    """An array of longs as one literal, however many they are: the optimizer reads it once."""
     if not values:
-        return F.lit(0).cast("long")
-    size = max(values) + 1
-    return F.element_at(F.array(*[F.lit(int(values.get(i, 0))).cast("long") for i in range(size)]), key + 1)
+        return F.array().cast("array<long>")
+    told = F.split(F.lit(",".join("" if v is None else str(int(v)) for v in values)), ",")
+    return F.transform(told, lambda x: F.when(x != "", x.cast("long"))) if None in values else told.cast("array<long>")
+
+
+def _lookup(values: dict[int, int], key: Column) -> Column:
+    return F.element_at(long_array([values.get(i, 0) for i in range(max(values) + 1)]), key + 1) if values else F.lit(0).cast("long")
 
 
 # ---------------------------------------------------------------------------------------------- numpy on text

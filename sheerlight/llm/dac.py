@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path, shuffle_parts, small_batches, text_of
+from .common import long_array, scratch_path, shuffle_parts, small_batches, text_of
 
 RANK_BLOCK = 512
 END_ID = 1
@@ -343,7 +343,7 @@ def read_dac(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
     for run in range(max(found, default=-1) + 1):
         before.append(so_far)
         so_far += found.get(run, 0)
-    offset = F.element_at(F.array(*[F.lit(x).cast("long") for x in before or [0]]), F.col("run") + 1)
+    offset = F.element_at(long_array(before or [0]), F.col("run") + 1)
     w = Window.partitionBy("run").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     places = files.select("run", "part", (F.coalesce(F.sum("n_tokens").over(w), F.lit(0)) + offset).alias("first"))  # narrow: payloads stay out of the window
     placed = files.join(F.broadcast(places) if len(before) <= 4096 and places.count() <= 100_000 else places, ["run", "part"])
@@ -365,7 +365,10 @@ def read_tokens(part: bytes, places: list[int]) -> list[int]:
 
 
 def token_files(docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:
-    """Write, then read back; see ``write_dac`` and ``read_dac``."""
+    """Write, then read back; see ``write_dac`` and ``read_dac``.
+
+    Without a ``path`` the data set lies in the shared folder; it stays there, as the rows returned are read from it.
+    """
     spark = docs.sparkSession
     path = path or scratch_path(spark, "dac")
     write_dac(docs, path, tokenizer)

@@ -3,7 +3,7 @@
 Texts are read as tokens: runs of letters, or runs of digits with single points or commas inside.  Numbers, units and
 names become typed placeholders, so a question with other parameters has the same template:
 
-* number: a token of digits, or a number word (``NUMBER_WORDS``);
+* number: a token of digits, or a run of number words (``NUMBER_WORDS``), which is one token;
 * unit: a token of ``UNITS`` right after a number;
 * name: a word with a capital first letter and a small second one that does not begin a sentence or a line.
 
@@ -20,8 +20,9 @@ slot in them has another value, the copy is re-parameterised.
 Benchmark windows are broadcast in blocks of at most ``BLOCK_ITEMS`` windows; a larger benchmark takes several passes over
 the documents, whose results are united.  So what is broadcast is bounded whatever the benchmark's size.
 
-Null and empty texts match nothing; null and empty items are skipped.  Repeated items match alike and the smallest item_id
-is told.  Other columns are ignored.
+Null and empty texts match nothing; null and empty items are skipped.  Repeated items are one, and the smallest item_id
+is told.  Very long texts are read in whole.  Repeated rows get equal results; an empty table gives no rows, and an empty benchmark
+contaminates nothing.  Other columns are ignored by ``find_leaks`` and kept by ``drop_leaks``.
 """
 
 from __future__ import annotations
@@ -45,11 +46,16 @@ BLOCK_ITEMS = 1 << 20
 CHUNK_CHARS = 1 << 18
 
 # Words that stand for numbers, and units.
-NUMBER_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "twenty", "thirty", "forty", "fifty", "hundred", "thousand", "million")
-UNITS = ("mm", "cm", "m", "km", "in", "ft", "mi", "mg", "g", "kg", "lb", "oz", "ml", "l", "ms", "s", "min", "h", "hr", "meters", "metres", "miles", "feet", "inches", "grams", "kilograms", "liters", "litres", "seconds", "minutes", "hours", "days", "weeks", "months", "years", "dollars", "euros", "cents", "percent", "degrees")
+NUMBER_WORDS = (
+    "zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen",
+    "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million", "billion", "trillion", "dozen",
+)
+UNITS = ("mm", "cm", "m", "km", "in", "ft", "mi", "mg", "g", "kg", "lb", "oz", "ml", "l", "ms", "s", "min", "h", "hr", "meters", "metres", "miles", "feet", "inches", "grams", "kilograms", "liters", "litres", "seconds", "minutes", "hours", "days", "weeks", "months", "years", "dollars", "euros", "cents", "percent", "degrees", "millimeters", "millimetres", "centimeters", "centimetres", "kilometers", "kilometres", "yards", "yd", "mph", "kph", "pounds", "ounces", "milligrams", "tons", "tonnes", "gallons", "pints", "cups", "milliliters", "millilitres", "acres", "hectares", "second", "minute", "hour", "day", "week", "month", "year", "mile", "meter", "metre", "foot", "inch", "gram", "kilogram", "liter", "litre", "dollar", "euro", "cent", "pound", "volts", "watts", "amps", "ohms", "joules", "newtons", "hertz", "hz", "kw", "kwh", "bytes", "kb", "mb", "gb")
 
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
-_SPACE, _LETTER, _DIGIT, _STOP, _JOINT = 1, 2, 4, 8, 16
+_SPACE, _LETTER, _DIGIT, _STOP, _JOINT, _ALONE = 1, 2, 4, 8, 16, 128
+#: Scripts without blanks: each letter is a token.
+_UNSPACED = ((0x0E00, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x3040, 0x3100), (0x3400, 0xA000), (0xF900, 0xFB00), (0x20000, 0x32000))
 _TABLE: list[tuple[np.ndarray, np.ndarray]] = []
 
 
@@ -68,12 +74,22 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
                 kind[cp] = _DIGIT
             elif c.isspace():
                 kind[cp] = _SPACE
+        for lo, hi in _UNSPACED:
+            kind[lo:hi][kind[lo:hi] & _LETTER > 0] |= _ALONE
         kind[[ord(c) for c in ".!?:\n"]] |= _STOP
         kind[[ord(c) for c in ".,"]] |= _JOINT
         _TABLE.append((kind, low))
     return _TABLE[0]
 
 
+def _rare(x: int) -> int:
+    """Class bits of a code point beyond the first 65,536."""
+    kind = unicodedata.category(chr(x))
+    if kind[0] in "LM":
+        return _LETTER | 32 * (kind in ("Lu", "Lt")) | 64 * (kind == "Ll") | _ALONE * any(lo <= x < hi for lo, hi in _UNSPACED)
+    return _DIGIT if kind == "Nd" else 0
+
+
 def _word_hash(words: tuple[str, ...]) -> np.ndarray:
     t = Tokens(np.array([ord(c) for w in words for c in w + " "], np.uint32), np.array([0, sum(len(w) + 1 for w in words)]), typed=False)
     return np.sort(t.value)
@@ -85,8 +101,13 @@ class Tokens:
     def __init__(self, cps: np.ndarray, offsets: np.ndarray, typed: bool = True):
         table, low = _tables()
         inside = np.minimum(cps, 0xFFFF)
-        bits = table[inside]
-        bits[cps > 0xFFFF] = 0
+        bits, lower = table[inside], low[inside]
+        high = np.flatnonzero(cps > 0xFFFF)
+        if len(high):
+            distinct, back = np.unique(cps[high], return_inverse=True)
+            small = [ord(c) if len(c := chr(x).lower()) == 1 else x for x in distinct.tolist()]
+            bits[high] = np.array([_rare(x) for x in distinct.tolist()], np.uint8)[back]
+            lower[high] = np.array(small, np.uint32)[back]
         n = len(cps)
         digit = bits & _DIGIT > 0
         joint = np.zeros(n, bool)
@@ -96,7 +117,8 @@ class Tokens:
         letter = bits & _LETTER > 0
         group = letter * 1 + digit * 2
         border = np.ones(n + 1, bool)
-        border[1:-1] = group[1:] != group[:-1]
+        alone = bits & _ALONE > 0
+        border[1:-1] = (group[1:] != group[:-1]) | alone[1:] | alone[:-1]
         border[offsets] = True
         at = np.flatnonzero(border)
         start, end = at[:-1], at[1:]
@@ -104,11 +126,13 @@ class Tokens:
         self.start, self.end = start, end = start[use], end[use]
         self.doc = np.searchsorted(offsets, start, side="right") - 1
         size = end - start
-        self.value = span_hashes(low[inside], start, end)
+        self.value = span_hashes(lower, start, end)
         if not typed:
             return
+        start, end = self._joined(_among(self.value, _NUMBERS()))
+        size = end - start
         kind = np.where(digit[start], NUMBER, LITERAL) if len(start) else np.zeros(0, np.int64)
-        kind[_among(self.value, _NUMBERS())] = NUMBER
+        kind[self.words_of_numbers] = NUMBER
         after = np.zeros(len(kind), bool)
         after[1:] = (kind[:-1] == NUMBER) & (self.doc[1:] == self.doc[:-1])
         kind[after & (kind == LITERAL) & _among(self.value, _UNIT_HASHES())] = UNIT
@@ -122,6 +146,20 @@ class Tokens:
         self.kind = kind
         self.template = np.where(kind == LITERAL, self.value, mix(kind.astype(np.uint64) + np.uint64(77)))
 
+    def _joined(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Make each run of number words one token, whose value comes from all of them."""
+        more = np.zeros(len(number), bool)
+        more[1:] = number[1:] & number[:-1] & (self.doc[1:] == self.doc[:-1])
+        if more.any():
+            first = np.flatnonzero(~more)
+            place = np.arange(len(number)) - np.repeat(first, np.diff(np.append(first, len(number))))
+            parts = np.where(place > 0, mix(self.value + place.astype(np.uint64)), self.value)
+            self.value = np.add.reduceat(parts, first)
+            self.end = self.end[np.append(first[1:], len(number)) - 1]
+            self.start, self.doc, number = self.start[first], self.doc[first], number[first]
+        self.words_of_numbers = number
+        return self.start, self.end
+
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """First token and hash of each window of one text: by template if it has enough literal tokens, and by words."""
         n = len(self.kind) - size + 1
@@ -274,7 +312,7 @@ def judged(texts: pa.Array, index: Index) -> Iterator[tuple[int, int, list[list[
 
 def benchmark_blocks(benchmark: DataFrame, block: int, item: str, item_text: str) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of about ``block`` windows at most, one of which is on the driver at a time."""
-    bench = benchmark.filter(benchmark[item_text].isNotNull()).select(benchmark[item].cast("long").alias("id"), benchmark[item_text].cast("string").alias("x"))
+    bench = benchmark.filter(benchmark[item_text].isNotNull()).groupBy(benchmark[item_text].cast("string").alias("x")).agg(F.min(benchmark[item].cast("long")).alias("id"))
     size = bench.agg(F.sum(F.length("x"))).first()[0] or 0
     blocks = max(1, -(-size // (2 * block)))  # a token and the gap after it take four characters at least, nearly always, and give two windows
     for k in range(blocks):

@@ -1,7 +1,8 @@
 """Sharding by Hilbert-curve order, with DataFrame functions only.
 
 Metadata (size, source, language) is quantised to ``BITS`` bits a dimension by quantiles over all rows, so that each
-bin holds about as many rows as it can; a text column is quantised by its first seven bytes, which keeps its order.  Rows
+bin holds about as many rows as it can: a number by the quantiles themselves, a text by the share of rows that come before the middle
+of its value in code point order, whatever values have in common at their beginning.  Rows
 are sorted by the curve index of their cell, then by doc_id, and the sorted run is cut into shards of row counts at
 most one apart (law ``rows``).  Cells next to each other on the curve differ by one step in one dimension, so each
 shard, and each file of ``write_shards``, spans narrow ranges in all dimensions and readers can skip files on any.
@@ -9,8 +10,9 @@ shard, and each file of ``write_shards``, spans narrow ranges in all dimensions
 Positions come from a range-partitioned sort of narrow rows; no text is shuffled, and a source or a cell with a third
 of all rows is spread over the ranges by doc_id.
 
-A null text has size 1 and the crc32 of no bytes; null metadata goes to bin 0; null ids come first.  Rows equal in all
-of these are interchangeable.  An empty table gives no rows.
+A null text has size 1 and the crc32 of no bytes; null metadata goes to bin 0; null ids come first.  Texts are only measured, so
+their length doesn't matter.  Rows equal in all of these, as repeated rows are, are interchangeable.  An empty table gives no rows.
+Columns that are no dimensions are ignored by ``assign_shards`` and kept by ``write_shards``; their names must not begin with ``__``.
 """
 
 from __future__ import annotations
@@ -18,11 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import running, text_of
+from .common import long_array, running, text_of
 
 BITS = 4
 SHARDS = 16
 DIMENSIONS = ("size", "source", "lang")
+#: Distinct values of a text column whose bins are broadcast at most; more are joined by a shuffle.
+MOST_BROADCAST = 100_000
 
 
 def curve(bits: int, dims: int) -> list[int]:
@@ -57,25 +61,33 @@ def curve(bits: int, dims: int) -> list[int]:
     return out
 
 
-def number(column: Column, kind: str) -> Column:
-    """A number in the column's order."""
-    if kind == "string":
-        return F.conv(F.hex(F.substring(F.concat(F.encode(column, "UTF-8"), F.unhex(F.lit("00" * 7))), 1, 7)), 16, 10).cast("long").cast("double")
-    return column.cast("double")
+def _text_bins(df: DataFrame, name: str, bits: int, bin_name: str) -> DataFrame:
+    """Each distinct value of a text column and its bin: one row a value, from counts summed up before the shuffle."""
+    counts = df.filter(F.col(name).isNotNull()).groupBy(F.col(name).cast("string").alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = running(counts, [F.col("_value")], {"_before": "_n"}).persist()
+    total = placed.agg(F.sum("_n")).first()[0] or 1
+    return placed.select("_value", F.floor((F.col("_before") + F.col("_n") / 2) * (1 << bits) / F.lit(total)).cast("int").alias(bin_name))
 
 
 def with_curve(df: DataFrame, dims: list[str], bits: int = BITS, name: str = "hilbert") -> DataFrame:
     """Adds ``name``, the curve index of each row's cell."""
     kinds = dict(df.dtypes)
-    values = [number(F.col(d), kinds[d]) for d in dims]
+    numbers = [d for d in dims if kinds[d] != "string"]
     shares = [k / (1 << bits) for k in range(1, 1 << bits)]
-    bounds = df.agg(*[F.percentile_approx(v, shares, 10_000).alias(f"b{i}") for i, v in enumerate(values)]).first()
+    bounds = df.agg(*[F.percentile_approx(F.col(d).cast("double"), shares, 10_000).alias(f"b{i}") for i, d in enumerate(numbers)]).first() if numbers else None
+    columns = df.columns
     cell: Column = F.lit(0)
-    for i, v in enumerate(values):
-        at = sum((F.when(v > F.lit(float(x)), 1).otherwise(0) for x in (bounds[f"b{i}"] or [])), F.lit(0))
+    for i, d in enumerate(dims):
+        if d in numbers:
+            at = sum((F.when(F.col(d).cast("double") > F.lit(float(x)), 1).otherwise(0) for x in (bounds[f"b{numbers.index(d)}"] or [])), F.lit(0))
+        else:
+            told = _text_bins(df, d, bits, f"__bin{i}").withColumnRenamed("_value", f"__value{i}")
+            few = told.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+            df = df.join(F.broadcast(told) if few else told.hint("merge"), F.col(d).cast("string") == F.col(f"__value{i}"), "left")
+            at = F.coalesce(F.col(f"__bin{i}"), F.lit(0))
         cell = cell * (1 << bits) + at
-    table = F.array(*[F.lit(x) for x in curve(bits, len(dims))])
-    return df.withColumn(name, F.element_at(table, cell + 1))
+    table = long_array(curve(bits, len(dims)))
+    return df.select(*columns, F.element_at(table, cell + 1).cast("int").alias(name))
 
 
 def assign_shards(docs: DataFrame, n_shards: int = SHARDS, dims: tuple[str, ...] = DIMENSIONS, bits: int = BITS, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import Words, fitted, mix, small_batches, text_chunks
 
@@ -168,3 +169,19 @@ def score(docs: DataFrame, model: Model, cut_at: float = CUT, text: str = "text"
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(docs[key].alias("key"), docs[text].cast("string")).mapInArrow(run, f"key {kind}, score double, predicted int").withColumnRenamed("key", key)
+
+
+def with_score(docs: DataFrame, model: Model, name: str, text: str = "text") -> DataFrame:
+    """``docs`` with the score of each row as ``name``; nothing is shuffled."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    told = spark.sparkContext.broadcast(model)
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [told.value.scores(term_counts(data[offsets[at] : offsets[min(at + 512, j - i)]], offsets[at : min(at + 512, j - i) + 1] - offsets[at])) for i, j, data, offsets in text_chunks(b.column(place), 1 << 19) for at in range(0, j - i, 512)]
+            if found:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(found))], names=[*b.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))

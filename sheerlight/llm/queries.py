@@ -78,10 +78,19 @@ def op9_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def weighed(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` with the quality classifier's score as ``__quality``, learned from the labels that op8 learns from."""
+    from .labelled import fold, sample
+    from .quality import SAMPLE, fit, with_score
+
+    return with_score(docs, fit(sample(docs, labels, "quality", fold("doc_id", 3) != 1, SAMPLE)), "__quality")
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
-    return mix(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix(weighed(docs, table(spark, sf_dir, "labels")), weight="__quality")
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_merkle_fingerprints, op4_fuzzy_lines, op5_benchmark_leaks, op6_ngram_jaccard, op7_hilbert_shards, op8_quality_neighbours, op9_addressable_codes, op10_source_mixing)}

@@ -150,7 +150,7 @@ ITEM = "Yesterday Alice bought 3 apples and 12 kg of flour from Bob then Alice s
     [
         (ITEM, True, False),
         (f"Noise comes first. {ITEM} and noise after", True, False),
-        (ITEM.upper().lower(), False, False),
+        (ITEM.upper().lower(), True, False),
         ("Yesterday Maria bought 8 apples and 40 kg of flour from Peter then Maria sold 9 of them to Anna for 40 dollars", True, True),
         ("Yesterday Maria bought 8 apples", False, False),
         ("one two three four five six seven eight nine", False, False),
@@ -261,7 +261,8 @@ def test_mix(spark, odd, none, which):
 
 def test_better_documents_are_likelier(spark):
     rows = [(i, ("good words are here " if i % 2 else "#!%& 12 ** 33 ") * 5, "s") for i in range(2000)] + [(5000 + i, "x " * 20, "t") for i in range(50)] + [(9000 + i, "y " * 20, "u") for i in range(2000)]
-    taken = [(r.doc_id % 2, r.copies) for r in mixing.mix(docs(spark, rows), share=0.3).collect() if r.source == "s"]
+    weighed = docs(spark, rows).withColumn("weight", F.when(F.col("doc_id") % 2 == 1, 0.9).otherwise(0.1))
+    taken = [(r.doc_id % 2, r.copies) for r in mixing.mix(weighed, share=0.3, weight="weight").collect() if r.source == "s"]
     good, bad = (sum(c for k, c in taken if k == p) for p in (1, 0))
     assert good > 2 * bad > 0
 
@@ -381,3 +382,52 @@ def test_copies_of_dense_and_short_items(item, text):
     index = decontaminate.Index([(7, item)])
     assert decontaminate.judge(decontaminate.tokens_of([text]), index, 1)[0]
     assert not decontaminate.judge(decontaminate.tokens_of(["figures 1 6 9 13 44 88 3 4 10 78 31 and 12 + 35 = 47"]), index, 1)[0]
+
+
+# ------------------------------------------------------------------------------------------------ borders and odd rows
+
+
+def test_a_mix_takes_equal_rows_one_by_one(spark):
+    rows = [(1, "ten words are in this very text as it stands", "s")] * 6 + [(k, "other words of the second source " * 20, "a") for k in range(10)]
+    df = docs(spark, rows)
+    plan = mixing.mix(df, share=0.1).collect()
+    assert sum(r.copies for r in plan if r.source == "s") % 6  # the run ends among them
+    assert Counter((r.doc_id, r.source) for r in mixing.take_mix(df, share=0.1).collect()) == Counter((r.doc_id, r.source) for r in plan for _ in range(r.copies))
+    third = df.withColumn("n_chars", F.monotonically_increasing_id()).withColumn("w", F.lit(0.5))
+    got = mixing.take_mix(third, share=0.1, weight="w")
+    assert Counter(r.doc_id for r in got.collect()) == Counter(r.doc_id for r in mixing.mix(third, share=0.1, weight="w").collect() for _ in range(r.copies)) and "w" not in got.columns
+
+
+def test_text_metadata_with_a_common_beginning(spark, tmp_path):
+    rows = [(k, "x" * (k % 7), f"https://crawl.example/{k % 16:02d}") for k in range(1600)]
+    df = docs(spark, rows)
+    bins = hilbert._text_bins(df, "source", 4, "b").collect()
+    assert len({r.b for r in bins}) == 16 and [r.b for r in sorted(bins, key=lambda r: r._value)] == list(range(16))
+    hilbert.write_shards(df, str(tmp_path / "y"), dims=("source",))
+    spans = spark.read.parquet(str(tmp_path / "y")).groupBy(F.input_file_name()).agg(F.countDistinct("source").alias("n")).collect()
+    assert all(r.n <= 3 for r in spans)
+
+
+@pytest.mark.parametrize(("item", "text"), [
+    ("A shop sold twenty five red apples and thirteen green pears on one long day of rain", "a shop sold 31 red apples and 7 green pears on 2 long day of rain"),
+    ("Bake the loaf for ninety minutes at one hundred degrees and then let it rest well", "bake the loaf for 45 minutes at 30 degrees and then let it rest well"),
+    ("\U00010400\U00010401 \U00010402 \U00010403 \U00010404 \U00010405 \U00010406 \U00010407 \U00010408", "so \U00010428\U00010429 \U0001042a \U0001042b \U0001042c \U0001042d \U0001042e \U0001042f \U00010430"),
+    ("这是一个没有空格的很长的句子用来检查", "前面还有这是一个没有空格的很长的句子用来检查后面也有"),
+])
+def test_numbers_in_words_and_other_scripts(item, text):
+    index = decontaminate.Index([(7, item)])
+    assert decontaminate.judge(decontaminate.tokens_of([text]), index, 1)[0]
+
+
+def test_repeated_ids_among_labelled_rows(spark):
+    df = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, "c"), (None, "d"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0), (4, 0), (None, 1), (5, None)], "doc_id long, toxic int")
+    got = labelled.sample(df, labels, "toxic", F.lit(True), {0: 2, 1: 2}).collect()
+    assert len(got) <= 4 and sum(r.label for r in got) == 1 and {r.weight for r in got if r.label == 0} == {1.5}
+
+
+def test_an_inserted_word_moves_few_leaves(spark):
+    line = " ".join(f"{w}{k}" for k, w in enumerate(["and", "sea", "cat", "run", "tree", "bell", "map", "one"] * 30))
+    df = spark.createDataFrame([(line, "new " + line)], "a string, b string")
+    r = df.select(merkle.likeness(merkle.fingerprint(F.col("a")), merkle.fingerprint(F.col("b"))).alias("x")).first()
+    assert 0.9 < r.x < 1
