@@ -15,6 +15,7 @@ from sheerlight.llm.hilbert import shard_report
 from sheerlight.llm.labelled import fold, sample
 from sheerlight.llm.mixing import take_mix
 from sheerlight.llm.ngram_join import drop_near_duplicates
+from sheerlight.llm.queries import weighed
 from sheerlight.llm.toxicity import SAMPLE, drop_toxic, fit
 
 
@@ -45,12 +46,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them.
+    """Documents as often as the mix of sources takes them, better ones (by the quality classifier) more likely in the last, partial epoch.
 
     Null and empty texts have no words, so no mix takes them.  A null source is a source of its own, the last.  Of rows that are equal in id,
     text and source, the first so many are taken.
     """
-    return take_mix(docs)
+    return take_mix(weighed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), weight="__quality")
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
