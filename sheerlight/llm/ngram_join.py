@@ -25,7 +25,8 @@ Sets are verified by their shared shingles: a shingle of only one set is in no i
 hash, so a pair of sets of a thousand shingles is misjudged with a chance of about one in 10^11.
 
 Null and empty texts, and those without words, have size 0 and link with nothing; their component is their own id.
-Repeated rows are equal sets.  An empty table gives no rows.  Other columns are ignored.
+Repeated rows are equal sets; ties of frequency are broken by hash.  Very long texts are read in whole, one at a time if need be.  An empty table
+gives no rows.  Other columns are ignored by ``near_duplicates`` and kept by ``drop_near_duplicates``; there their names must not begin with ``__``.
 """
 
 from __future__ import annotations
@@ -44,7 +45,8 @@ SHINGLE = 5
 PERCENT = 75
 #: Shingles a task packs before it hands them on.
 PACK_TOKENS = 1 << 20
-#: Buckets of shingles at least, so that a set is cut into about as many parts whatever the number of partitions.
+#: Buckets of shingles at least.  A set comes back from as many buckets as its repeated shingles lie in: one row for each shingle at most, however
+#: many buckets there are, and on small tables about as many as on large ones.
 LEAST_BUCKETS = 96
 #: Sets of one pack that make a shingle hot.
 HOT = 48
@@ -129,7 +131,7 @@ def _packed(docs: DataFrame, buckets: int, size: int, text: str) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             owner, token, digest, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            bucket = ((token >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
+            bucket = ((token >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             distinct, one, back, times = np.unique(token, return_index=True, return_inverse=True, return_counts=True)
             marks, marked = distinct[times >= HOT], bucket[one[times >= HOT]]
             hot = (times >= HOT)[back]
@@ -247,7 +249,7 @@ def candidates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, tex
     """Sets that may link: digest, n, and their repeated shingles from the rarest on (``shared``)."""
     spark = docs.sparkSession
     small_batches(spark)
-    buckets = min(60_000, max(LEAST_BUCKETS, 2 * shuffle_parts(spark)))
+    buckets = max(LEAST_BUCKETS, 2 * shuffle_parts(spark))
     back = _packed(docs, buckets, size, text).groupBy("bucket").applyInArrow(lambda t: _repeated(t, buckets), "digest long, n long, shared array<long>")
     whole = back.groupBy("digest").agg(F.max("n").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("shared")))).alias("shared"))  # no longer than the document
     return cut(whole.filter(F.size("shared") >= required(F.col("n"), percent)))
