@@ -94,4 +94,43 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_merkle_fingerprints, op4_fuzzy_lines, op5_benchmark_leaks, op6_ngram_jaccard, op7_hilbert_shards, op8_quality_neighbours, op9_addressable_codes, op10_source_mixing)}
-ORACLE_SQL: dict[str, str] = {}
+
+#: Words of a text, A-Z in small letters.
+_WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+#: All pairs that share a shingle, their links, and the least id that links reach.
+_JACCARD = f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y USING (g) WHERE x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.c + y.c - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id WHERE r.root < e.b)
+SELECT doc_id, coalesce(c, 0) AS n_shingles, min(root) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id, c"""
+
+
+def _shards_sql() -> str:
+    """The curve's cells come from the operator's own table, which a test walks; bins, order, shards, slots and checksums are worked out anew."""
+    from .hilbert import BITS, DIMENSIONS, SHARDS, curve
+
+    m = 1 << BITS
+    size_bin = " + ".join(f"CASE WHEN size > (SELECT quantile_disc(size, {k / m}) FROM t) THEN 1 ELSE 0 END" for k in range(1, m))
+    text_bin = lambda c: f"b_{c} AS (SELECT v, CAST(floor((sum(n) OVER (ORDER BY v) - n / 2) * {m} / sum(n) OVER ()) AS INTEGER) AS bin FROM (SELECT {c} AS v, count(*) AS n FROM t WHERE {c} IS NOT NULL GROUP BY {c}))"
+    texts = [d for d in DIMENSIONS if d != "size"]
+    cell = "0"
+    for d in DIMENSIONS:
+        cell = f"({cell}) * {m} + {'size_bin' if d == 'size' else f'coalesce(b_{d}.bin, 0)'}"
+    step = "CASE WHEN {0} % 2 = 1 THEN xor({0} // 2, 3988292384) ELSE {0} // 2 END"
+    table = "x.v"
+    for _ in range(8):
+        table = f"(SELECT {step.format('q.v')} AS v FROM (SELECT {table} AS v) q)"
+    return f"""WITH k AS (SELECT list(c ORDER BY i) AS c FROM (SELECT x.v AS i, {table} AS c FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS v) x)),
+d AS (SELECT doc_id, source, lang, hex(encode(coalesce(text, ''))) AS h FROM documents),
+t AS (SELECT doc_id, source, lang, length(h) // 2 + 1 AS size, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(0, length(h), 2), lambda i: CAST('0x' || substr(h, CAST(i + 1 AS INTEGER), 2) AS BIGINT))), lambda a, b: xor(a // 256, k.c[(xor(a, b) & 255) + 1]))) AS text_crc32 FROM d, k),
+{', '.join(text_bin(c) for c in texts)}, z AS (SELECT *, {size_bin} AS size_bin FROM t),
+g AS (SELECT doc_id, size, text_crc32, ({curve(BITS, len(DIMENSIONS))})[{cell} + 1] AS hilbert FROM z {' '.join(f'LEFT JOIN b_{c} ON b_{c}.v = z.{c}' for c in texts)}),
+o AS (SELECT *, row_number() OVER (ORDER BY hilbert, doc_id NULLS FIRST, text_crc32, size) - 1 AS pos, count(*) OVER () AS n FROM g),
+f AS (SELECT *, CAST(pos * {SHARDS} // n AS INTEGER) AS shard FROM o)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY pos) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard, CAST(hilbert AS INTEGER) AS hilbert FROM f"""
+
+
+ORACLE_SQL: dict[str, str] = {"op6_ngram_jaccard": _JACCARD, "op7_hilbert_shards": _shards_sql()}

@@ -271,3 +271,53 @@ def test_representatives_are_rows(spark):
     rows = [(3, y), (5, x), (5, y + " more"), (None, y), (None, z), (None, "clean text of its own here"), (None, ""), (7, z.upper())]
     got = ngram_join.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter(map(tuple, got)) == Counter([(3, y), (5, x), (None, "clean text of its own here"), (None, ""), (7, z.upper())])
+
+
+# ------------------------------------------------------------------------------------------------ against SQL, and stage by stage
+
+
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.01"])
+@pytest.mark.parametrize("name", ["op6_ngram_jaccard", "op7_hilbert_shards"])
+def test_sql(spark, sf, name):
+    import duckdb
+
+    from sheerlight.llm import queries
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    want, got = con.sql(queries.ORACLE_SQL[name]), queries.QUERIES[name](spark, sf)
+    columns = sorted(got.columns)
+    assert sorted(want.columns) == columns
+    assert sorted(tuple(r[c] for c in columns) for r in got.select(*columns).fillna(-1).collect()) == sorted(tuple(-1 if v is None else v for v in r) for r in want.project(", ".join(columns)).fetchall())
+
+
+def test_every_stage(spark):
+    """Each stage on its own input, against the operator's report or brute force."""
+    import corpus_pipeline as pipeline
+    from sheerlight.llm import decontaminate, labelled, mixing, queries, toxicity
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(400).cache()
+    labels, benchmark = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("labels", "benchmark"))
+    ids = lambda df: Counter(r.doc_id for r in df.collect())
+    kept = pipeline.toxicity(spark, docs, sf).cache()
+    told = {r.doc_id: r.toxic for r in labels.filter(labelled.fold("doc_id", 4) == 2).join(docs, "doc_id").collect()}
+    gone = set(ids(docs)) - set(ids(kept))
+    assert kept.columns == docs.columns and gone
+    net = toxicity.fit(labelled.sample(docs, labels, "toxic", labelled.fold("doc_id", 4) != 2, toxicity.SAMPLE))
+    assert gone == {r.doc_id for r in toxicity.score(docs, net).collect() if r.predicted}
+    assert sum(told[i] == 0 for i in gone & set(told)) <= 0.1 * sum(v == 0 for v in told.values())
+    one = pipeline.near_duplicates(spark, kept, sf).cache()
+    groups = linked([(r.doc_id, r.text) for r in kept.collect()])
+    assert set(ids(one)) == {c for n, c in groups.values() if n} | {i for i, (n, _) in groups.items() if not n} and one.columns == docs.columns
+    clean = pipeline.decontamination(spark, one, sf).cache()
+    plain = lambda t: " " + " ".join(re.sub("[^a-z0-9]+", " ", (t or "").lower()).split()) + " "
+    items = [plain(r.text) for r in benchmark.collect()]
+    assert not any(x in plain(r.text) for r in clean.collect() for x in items if len(x.split()) >= 8)
+    assert set(ids(clean)) == {r.doc_id for r in decontaminate.find_leaks(one, benchmark).collect() if not r.contaminated} and clean.columns == docs.columns
+    mixed = pipeline.mixing(spark, clean, sf).cache()
+    plan = mixing.mix(queries.weighed(clean, labels), weight="__quality").collect()
+    assert ids(mixed) == Counter(r.doc_id for r in plan for _ in range(r.copies)) and mixed.columns == docs.columns
+    rows = pipeline.sharding(spark, mixed, sf).collect()
+    assert Counter(r.doc_id for r in rows) == ids(mixed)
+    spark.catalog.clearCache()
