@@ -9,6 +9,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import TypeVar
 
 import numpy as np
@@ -71,11 +72,41 @@ def delete_path(spark: SparkSession, path: str) -> None:
 def give_back() -> None:
     """Return memory that training has freed to the system, where the C library can; workers live on."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run`` with its memory given back at the end of a task: the workers of an executor live on."""
+
+    def whole(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
+@contextmanager
+def uncompiled(spark: SparkSession) -> Iterator[None]:
+    """For many small plans that run at once: they aren't worth compiling, and compiled code and plan texts would pile up in the driver."""
+    settings = {"spark.sql.codegen.wholeStage": "false", "spark.sql.maxPlanStringLength": "8192"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 Fitted = TypeVar("Fitted")
 
 

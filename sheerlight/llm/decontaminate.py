@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, small_batches, span_hashes
+from .common import cut, mix, small_batches, span_hashes, tidy
 
 WINDOW = 8
 LITERALS = 4
@@ -323,6 +323,7 @@ def _pass(docs: DataFrame, items: list[tuple[int, str]], window: int) -> DataFra
     told = docs.sparkSession.sparkContext.broadcast(items)
     loaded: list[Index] = []
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not loaded:
             loaded.append(Index(told.value, window))
@@ -365,6 +366,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
         told = spark.sparkContext.broadcast(items)
         loaded: list[Index] = []
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch], told=told, loaded=loaded) -> Iterator[pa.RecordBatch]:
             if not loaded:
                 loaded.append(Index(told.value, window))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, uncompiled
 
 
 def _settled(es: DataFrame) -> bool:
@@ -26,22 +26,23 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     before the shuffle and joined back by sort-merge joins, which Spark splits where one node has most of the edges.
     """
     es = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    n = es.count()
-    for _ in range(rounds):
-        if _settled(es):
-            break
-        both = es.union(es.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        # Large star: the larger neighbours of u go to its least neighbour.
-        big = both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        big = big.filter("u <> v").distinct()
-        # Small star: u and its smaller neighbours go to the least of them.
-        low = big.groupBy("u").agg(F.min("v").alias("m"))
-        small = big.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        es = cut(small.filter("u <> v").distinct(), n)
+    with uncompiled(edges.sparkSession):  # rounds over few rows
         n = es.count()
-    else:
-        raise RuntimeError(f"components not settled after {rounds} rounds")
+        for _ in range(rounds):
+            if _settled(es):
+                break
+            both = es.union(es.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+            # Large star: the larger neighbours of u go to its least neighbour.
+            big = both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            big = big.filter("u <> v").distinct()
+            # Small star: u and its smaller neighbours go to the least of them.
+            low = big.groupBy("u").agg(F.min("v").alias("m"))
+            small = big.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+            es = cut(small.filter("u <> v").distinct(), n)
+            n = es.count()
+        else:
+            raise RuntimeError(f"components not settled after {rounds} rounds")
     stars = es.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.union(stars.select(F.col("root").alias("node"), "root")).distinct()
 

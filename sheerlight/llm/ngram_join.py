@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, cut, mix, shuffle_parts, small_batches, text_chunks
+from .common import Words, cut, mix, shuffle_parts, small_batches, text_chunks, tidy
 from .graph import candidate_components
 
 SHINGLE = 5
@@ -95,6 +95,7 @@ def set_sizes(docs: DataFrame, size: int = SHINGLE, text: str = "text", key: str
     """For each row: key, ``n`` (size of its set) and ``digest``."""
     small_batches(docs.sparkSession)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, data, offsets in text_chunks(b.column(1)):
@@ -108,6 +109,7 @@ def placed_sets(named: DataFrame, size: int, text: str) -> DataFrame:
     """``set_sizes`` of rows that are known by a struct ``row`` of key and text hash."""
     small_batches(named.sparkSession)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, data, offsets in text_chunks(b.column(1)):
@@ -120,6 +122,7 @@ def placed_sets(named: DataFrame, size: int, text: str) -> DataFrame:
 def _packed(docs: DataFrame, buckets: int, size: int, text: str) -> DataFrame:
     """Shingles by bucket: (bucket, payload); a set is packed once in each task."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.uint64)
         held: list[tuple[np.ndarray, ...]] = []

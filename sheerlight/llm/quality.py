@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import Words, fitted, mix, small_batches, text_chunks
+from .common import Words, fitted, mix, small_batches, text_chunks, tidy
 
 #: Labelled texts that the space is fitted on and that vote, at most, by label.
 SAMPLE = {0: 1536, 1: 2560}
@@ -139,6 +139,7 @@ def fit(labelled: DataFrame) -> Model:
     """The model of a bounded sample (text, label): terms are counted by many tasks, the space is fitted by one."""
     small_batches(labelled.sparkSession)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, data, offsets in text_chunks(b.column(0), 1 << 19):
@@ -159,6 +160,7 @@ def score(docs: DataFrame, model: Model, cut_at: float = CUT, text: str = "text"
     small_batches(spark)
     told = spark.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, data, offsets in text_chunks(b.column(1), 1 << 19):
@@ -178,6 +180,7 @@ def with_score(docs: DataFrame, model: Model, name: str, text: str = "text") ->
     told = spark.sparkContext.broadcast(model)
     place = docs.columns.index(text)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [told.value.scores(term_counts(data[offsets[at] : offsets[min(at + 512, j - i)]], offsets[at : min(at + 512, j - i) + 1] - offsets[at])) for i, j, data, offsets in text_chunks(b.column(place), 1 << 19) for at in range(0, j - i, 512)]

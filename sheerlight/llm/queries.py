@@ -133,4 +133,28 @@ f AS (SELECT *, CAST(pos * {SHARDS} // n AS INTEGER) AS shard FROM o)
 SELECT doc_id, size, text_crc32, 'rows' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY pos) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard, CAST(hilbert AS INTEGER) AS hilbert FROM f"""
 
 
-ORACLE_SQL: dict[str, str] = {"op6_ngram_jaccard": _JACCARD, "op7_hilbert_shards": _shards_sql()}
+def _merkle_sql() -> str:
+    """Leaves by places among their line's words instead of by a pattern; the tree by grouped strings."""
+    from .merkle import LEAF_ENDS, LEAF_WORDS, NODE, WORD_CHARS
+
+    gap = "\\x20\\x09-\\x0D"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+o AS (SELECT doc_id, text, length(text) AS n, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS next_text, coalesce(lead(doc_id) OVER (ORDER BY doc_id DESC), first_value(doc_id) OVER (ORDER BY doc_id DESC)) AS next_id FROM d),
+t AS (SELECT doc_id, false AS changed, text FROM o UNION ALL SELECT doc_id, true, substr(text, 1, n - n // 3) || substr(next_text, 1, n // 3) FROM o),
+l AS (SELECT doc_id, changed, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM t),
+w AS (SELECT doc_id, changed, i, unnest(x) AS token, generate_subscripts(x, 1) AS j FROM (SELECT *, CASE WHEN regexp_full_match(line, '[{gap}]+') THEN [line] ELSE regexp_extract_all(line, '^[{gap}]*[^{gap}]{{1,{WORD_CHARS}}}[{gap}]*|[^{gap}]{{1,{WORD_CHARS}}}[{gap}]*') END AS x FROM l)),
+e AS (SELECT *, coalesce(sum(CASE WHEN regexp_matches(token, '[{LEAF_ENDS}][{gap}]*$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, changed, i ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM w),
+f AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, changed, i, run ORDER BY j) - 1) // {LEAF_WORDS} AS part FROM e),
+v AS (SELECT doc_id, changed, i, min(j) AS j, sha256(string_agg(token, '' ORDER BY j)) AS h FROM f GROUP BY doc_id, changed, i, run, part),
+p AS (SELECT l.doc_id, l.changed, l.i, sha256(coalesce(string_agg(h, '' ORDER BY j), '')) AS h, ':' || coalesce(string_agg(h[1:{NODE}], '' ORDER BY j), '') AS leaves FROM l LEFT JOIN v ON v.doc_id = l.doc_id AND v.changed = l.changed AND v.i = l.i GROUP BY ALL),
+q AS (SELECT *, sum(CASE WHEN i > 1 AND h[1] IN ('0', '1') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, changed ORDER BY i) AS part FROM p),
+u AS (SELECT doc_id, changed, part, sha256(string_agg(h, '' ORDER BY i)) AS h, string_agg(h[1:{NODE}] || leaves, '(' ORDER BY i) AS paragraphs FROM q GROUP BY doc_id, changed, part),
+z AS (SELECT doc_id, changed, sha256(string_agg(h, '' ORDER BY part)) AS root, string_agg(h[1:{NODE}] || '(' || paragraphs, '|' ORDER BY part) AS tree FROM u GROUP BY doc_id, changed),
+s AS (SELECT doc_id, changed, root, root || '|' || tree AS fp FROM z),
+g AS (SELECT doc_id, changed, list_distinct(list(h[1:{NODE}])) AS leaves FROM v GROUP BY doc_id, changed),
+a AS (SELECT s.*, coalesce(leaves, []) AS leaves FROM s LEFT JOIN g USING (doc_id, changed)),
+m AS (SELECT o.doc_id, o.n, o.text, o.next_text, x.fp, y.fp AS fp2, x.leaves AS own, y.leaves AS ed, z.leaves AS nx, x.root = y.root AS same_ed, x.root = z.root AS same_nx, sha256(substr(o.text, 1, o.n - o.n // 3) || substr(o.next_text, 1, o.n // 3)) AS edited FROM o JOIN a x ON x.doc_id = o.doc_id AND NOT x.changed JOIN a y ON y.doc_id = o.doc_id AND y.changed JOIN a z ON z.doc_id = o.next_id AND NOT z.changed)
+SELECT doc_id, n AS n_chars, edited AS edited_sha256, fp AS fingerprint, fp2 AS edited_fingerprint, CAST(CASE WHEN same_ed THEN 1 WHEN len(own) + len(ed) = 0 THEN 0 ELSE 2.0::DOUBLE * len(list_intersect(own, ed)) / (len(own) + len(ed)) END AS DOUBLE) AS near_edited, CAST(CASE WHEN same_nx THEN 1 WHEN len(own) + len(nx) = 0 THEN 0 ELSE 2.0::DOUBLE * len(list_intersect(own, nx)) / (len(own) + len(nx)) END AS DOUBLE) AS near_next FROM m"""
+
+
+ORACLE_SQL: dict[str, str] = {"op3_merkle_fingerprints": _merkle_sql(), "op6_ngram_jaccard": _JACCARD, "op7_hilbert_shards": _shards_sql()}

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, fitted, give_back, mix, small_batches, span_hashes, text_chunks
+from .common import _LOWER, Words, fitted, give_back, mix, small_batches, span_hashes, text_chunks, tidy
 
 SAMPLE = {0: 2600, 1: 1300}
 FIT_CHARS = 8000
@@ -38,6 +38,8 @@ WIDTH = 8
 WORD_ROWS = 1 << 16
 GRAM_ROWS = 1 << 16
 GRAMS = (3, 4, 5)
+#: Bytes of texts whose words are found at a time.
+BLOCK_BYTES = 1 << 19
 EPOCHS = 8
 #: Epochs on all windows of toxic texts, before their highest ones are known.
 ALL_WINDOWS = 3
@@ -59,21 +61,31 @@ class Vocabulary:
     """The distinct words of some texts: their word rows, their n-gram rows (``grams`` from ``first`` on), and the words in order."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        words = Words(data, offsets)
-        start, end = words.start.copy(), words.end.copy()
-        for _ in range(4):  # signs at the ends, four at most on each side; a word keeps one character
-            lead = (end - start > 1) & _SIGN[words.data[start]] if len(start) else np.zeros(0, bool)
-            start[lead] += 1
-            trail = (end - start > 1) & _SIGN[words.data[end - 1]] if len(start) else np.zeros(0, bool)
-            end[trail] -= 1
-        self.count = words.count
+        starts, ends, hashes, counts = [], [], [], []
+        lo = 0
+        while lo < len(offsets) - 1:  # some texts at a time, as masks take several bytes for each of theirs
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + BLOCK_BYTES, side="right")) - 1)
+            words = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            start, end = words.start.copy(), words.end.copy()
+            for _ in range(4):  # signs at the ends, four at most on each side; a word keeps one character
+                lead = (end - start > 1) & _SIGN[words.data[start]] if len(start) else np.zeros(0, bool)
+                start[lead] += 1
+                trail = (end - start > 1) & _SIGN[words.data[end - 1]] if len(start) else np.zeros(0, bool)
+                end[trail] -= 1
+            hashes.append(span_hashes(words.data, start, end))
+            starts.append(start + offsets[lo])
+            ends.append(end + offsets[lo])
+            counts.append(words.count)
+            lo = hi
+        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        start, end, h, self.count = join(starts), join(ends), join(hashes), join(counts)
         size = end - start
         self.words = len(start)
         if not self.words:
             self.order, self.row, self.grams, self.first = np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)
             return
-        h = span_hashes(words.data, start, end)
-        distinct, one, self.order = np.unique(h, return_index=True, return_inverse=True)
+        distinct, one, order = np.unique(h, return_index=True, return_inverse=True)
+        self.order = order.astype(np.int32)
         self.row = (distinct % np.uint64(WORD_ROWS)).astype(np.int64)
         # n-grams of the distinct words, between two marks
         size, first = size[one], start[one]
@@ -81,7 +93,7 @@ class Vocabulary:
         at = np.cumsum(long) - long
         marked = np.full(int(long.sum()), 1, np.uint64)
         place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        marked[np.repeat(at, size) + 1 + place] = words.data[np.repeat(first, size) + place]
+        marked[np.repeat(at, size) + 1 + place] = _LOWER[data[np.repeat(first, size) + place]]
         owner = np.repeat(np.arange(len(one), dtype=np.int32), long)
         left = np.repeat(at + long, long) - np.arange(len(marked))  # bytes from here to the word's end
         found, owners = [], []
@@ -402,6 +414,7 @@ def score(docs: DataFrame, net: Network, cut_at: float = CUT, text: str = "text"
     small_batches(spark)
     told = spark.sparkContext.broadcast(net)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, data, offsets in text_chunks(b.column(1)):
@@ -419,6 +432,7 @@ def drop_toxic(docs: DataFrame, net: Network, cut_at: float = CUT, text: str = "
     told = spark.sparkContext.broadcast(net)
     n = len(docs.columns)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = [told.value.scores(Vocabulary(data, offsets)) < cut_at for _, _, data, offsets in text_chunks(b.column(n))]

@@ -277,7 +277,7 @@ def test_representatives_are_rows(spark):
 
 
 @pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.01"])
-@pytest.mark.parametrize("name", ["op6_ngram_jaccard", "op7_hilbert_shards"])
+@pytest.mark.parametrize("name", ["op3_merkle_fingerprints", "op6_ngram_jaccard", "op7_hilbert_shards"])
 def test_sql(spark, sf, name):
     import duckdb
 
