@@ -9,7 +9,6 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 from typing import TypeVar
 
 import numpy as np
@@ -93,20 +92,6 @@ def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     return whole
 
 
-@contextmanager
-def uncompiled(spark: SparkSession) -> Iterator[None]:
-    """For many small plans that run at once: they aren't worth compiling, and compiled code and plan texts would pile up in the driver."""
-    settings = {"spark.sql.codegen.wholeStage": "false", "spark.sql.maxPlanStringLength": "8192"}
-    before = {k: spark.conf.get(k) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
-
-
 Fitted = TypeVar("Fitted")
 
 
@@ -126,7 +111,10 @@ def fitted(rows: DataFrame, fit: Callable[[pa.Table], Fitted]) -> Fitted:
             yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
 
     found = rows.repartition(1).mapInArrow(run, "model binary").collect()
-    return pickle.loads(found[0]["model"]) if found else fit(pa.table({n: [] for n in names}))
+    model = pickle.loads(found[0]["model"]) if found else fit(pa.table({n: [] for n in names}))
+    del found
+    give_back()
+    return model
 
 
 def shuffle_parts(spark: SparkSession) -> int:

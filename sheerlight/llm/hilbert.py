@@ -17,7 +17,7 @@ Columns that are no dimensions are ignored by ``assign_shards`` and kept by ``wr
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import long_array, running, text_of
@@ -61,12 +61,20 @@ def curve(bits: int, dims: int) -> list[int]:
     return out
 
 
-def _text_bins(df: DataFrame, name: str, bits: int, bin_name: str) -> DataFrame:
-    """Each distinct value of a text column and its bin: one row a value, from counts summed up before the shuffle."""
+def _text_bins(df: DataFrame, name: str, bits: int, bin_name: str) -> tuple[DataFrame, bool]:
+    """Each distinct value of a text column and its bin, from counts summed up before the shuffle; and whether they are few enough to broadcast.
+
+    A few values are summed up in one window, any number of them over ranges.
+    """
     counts = df.filter(F.col(name).isNotNull()).groupBy(F.col(name).cast("string").alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
-    placed = running(counts, [F.col("_value")], {"_before": "_n"}).persist()
-    total = placed.agg(F.sum("_n")).first()[0] or 1
-    return placed.select("_value", F.floor((F.col("_before") + F.col("_n") / 2) * (1 << bits) / F.lit(total)).cast("int").alias(bin_name))
+    few = counts.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    if few:
+        w = Window.orderBy("_value")
+        placed = counts.withColumn("_before", F.sum("_n").over(w) - F.col("_n")).withColumn("_all", F.sum("_n").over(Window.partitionBy()))
+    else:
+        placed = running(counts, [F.col("_value")], {"_before": "_n"}).persist()
+        placed = placed.withColumn("_all", F.lit(placed.agg(F.sum("_n")).first()[0] or 1))
+    return placed.select("_value", F.floor((F.col("_before") + F.col("_n") / 2) * (1 << bits) / F.col("_all")).cast("int").alias(bin_name)), few
 
 
 def with_curve(df: DataFrame, dims: list[str], bits: int = BITS, name: str = "hilbert") -> DataFrame:
@@ -81,8 +89,8 @@ def with_curve(df: DataFrame, dims: list[str], bits: int = BITS, name: str = "hi
         if d in numbers:
             at = sum((F.when(F.col(d).cast("double") > F.lit(float(x)), 1).otherwise(0) for x in (bounds[f"b{numbers.index(d)}"] or [])), F.lit(0))
         else:
-            told = _text_bins(df, d, bits, f"__bin{i}").withColumnRenamed("_value", f"__value{i}")
-            few = told.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+            told, few = _text_bins(df, d, bits, f"__bin{i}")
+            told = told.withColumnRenamed("_value", f"__value{i}")
             df = df.join(F.broadcast(told) if few else told.hint("merge"), F.col(d).cast("string") == F.col(f"__value{i}"), "left")
             at = F.coalesce(F.col(f"__bin{i}"), F.lit(0))
         cell = cell * (1 << bits) + at

@@ -39,12 +39,34 @@ def word_count(text: Column) -> Column:
     return (F.size(parts) - empty(1) - F.when(F.size(parts) > 1, empty(-1)).otherwise(0)).cast("long")
 
 
+def _few_targets(sizes: DataFrame, found: list[tuple[str | None, int]], share: float, most: float, weights: tuple[int, ...]) -> DataFrame:
+    found.sort(key=lambda x: (x[0] is None, (x[0] or "").encode()))
+    weight = [float(weights[k % len(weights)]) for k in range(len(found))]
+    cap = [n * most for _, n in found]
+    total, level = sum(n for _, n in found), 0.0
+    while True:
+        above = [c <= level * w for c, w in zip(cap, weight, strict=True)]
+        free = sum(w for w, a in zip(weight, above, strict=True) if not a)
+        risen = (total * share - sum(c for c, a in zip(cap, above, strict=True) if a)) / free if free else level
+        if risen <= level:
+            break
+        level = risen
+    rows, start = [], 0
+    for k, (name, n) in enumerate(found):
+        rows.append((name, n, start, k, weight[k], min(cap[k], level * weight[k])))
+        start += n
+    return sizes.sparkSession.createDataFrame(rows, "source string, source_size long, source_start long, source_rank long, weight double, target double")
+
+
 def targets(sizes: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """``sizes`` (source, source_size) with ``target``, ``source_rank`` and ``source_start`` (words of sources before it).
 
-    The level at which the uncapped sources stand rises with each round that caps further ones; each round is one
-    aggregate over the table of sources, and only its two sums come to the driver.
+    The level at which the uncapped sources stand rises with each round that caps further ones.  A few sources are shared out on the driver; with
+    more, each round is one aggregate over the table of sources, and only its two sums come to the driver.
     """
+    found = sizes.limit(MOST_BROADCAST + 1).collect()
+    if len(found) <= MOST_BROADCAST:
+        return _few_targets(sizes, [(r["source"], r["source_size"]) for r in found], share, most, weights)
     ranked = running(sizes, [F.col("source").asc_nulls_last()], {"source_start": "source_size"})
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("_pos") % len(weights) + 1).cast("int"))
     ranked = ranked.withColumn("weight", w).withColumnRenamed("_pos", "source_rank").persist()

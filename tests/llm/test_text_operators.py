@@ -401,7 +401,7 @@ def test_a_mix_takes_equal_rows_one_by_one(spark):
 def test_text_metadata_with_a_common_beginning(spark, tmp_path):
     rows = [(k, "x" * (k % 7), f"https://crawl.example/{k % 16:02d}") for k in range(1600)]
     df = docs(spark, rows)
-    bins = hilbert._text_bins(df, "source", 4, "b").collect()
+    bins = hilbert._text_bins(df, "source", 4, "b")[0].collect()
     assert len({r.b for r in bins}) == 16 and [r.b for r in sorted(bins, key=lambda r: r._value)] == list(range(16))
     hilbert.write_shards(df, str(tmp_path / "y"), dims=("source",))
     spans = spark.read.parquet(str(tmp_path / "y")).groupBy(F.input_file_name()).agg(F.countDistinct("source").alias("n")).collect()
@@ -431,3 +431,12 @@ def test_an_inserted_word_moves_few_leaves(spark):
     df = spark.createDataFrame([(line, "new " + line)], "a string, b string")
     r = df.select(merkle.likeness(merkle.fingerprint(F.col("a")), merkle.fingerprint(F.col("b"))).alias("x")).first()
     assert 0.9 < r.x < 1
+
+
+def test_many_sources_and_values(spark, odd, monkeypatch):
+    """Beyond what is broadcast, tables of sources and of values give the same results."""
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    want = [sorted(map(str, f(x).collect())) for f in (mixing.mix, hilbert.shard_report) for x in (df, odd)]
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", 2)
+    monkeypatch.setattr(hilbert, "MOST_BROADCAST", 2)
+    assert [sorted(map(str, f(x).collect())) for f in (mixing.mix, hilbert.shard_report) for x in (df, odd)] == want
