@@ -38,6 +38,8 @@ WIDTH = 8
 WORD_ROWS = 1 << 16
 GRAM_ROWS = 1 << 16
 GRAMS = (3, 4, 5)
+#: Distinct words whose n-grams are made at a time.
+GRAM_WORDS = 16_384
 #: Bytes of texts whose words are found at a time.
 BLOCK_BYTES = 1 << 19
 EPOCHS = 8
@@ -87,14 +89,23 @@ class Vocabulary:
         distinct, one, order = np.unique(h, return_index=True, return_inverse=True)
         self.order = order.astype(np.int32)
         self.row = (distinct % np.uint64(WORD_ROWS)).astype(np.int64)
-        # n-grams of the distinct words, between two marks
+        # n-grams of the distinct words between two marks, some words at a time
         size, first = size[one], start[one]
+        del start, end, h, order
+        found = [self._grams(data, first[at : at + GRAM_WORDS], size[at : at + GRAM_WORDS]) for at in range(0, len(one), GRAM_WORDS)]
+        self.grams = np.concatenate([g for g, _ in found])
+        count = np.concatenate([n for _, n in found])
+        self.first = np.cumsum(count) - count  # each word has a 3-gram at least
+
+    @staticmethod
+    def _grams(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The n-gram rows of some words, word by word, and how many each has."""
         long = size + 2
         at = np.cumsum(long) - long
         marked = np.full(int(long.sum()), 1, np.uint64)
         place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
         marked[np.repeat(at, size) + 1 + place] = _LOWER[data[np.repeat(first, size) + place]]
-        owner = np.repeat(np.arange(len(one), dtype=np.int32), long)
+        owner = np.repeat(np.arange(len(size), dtype=np.int32), long)
         left = np.repeat(at + long, long) - np.arange(len(marked))  # bytes from here to the word's end
         found, owners = [], []
         for n in GRAMS:
@@ -105,9 +116,7 @@ class Vocabulary:
             found.append((mix(g * np.uint64(8) + np.uint64(n)) % np.uint64(GRAM_ROWS)).astype(np.int32))
             owners.append(owner[ok])
         grams, owners = np.concatenate(found), np.concatenate(owners)
-        order = np.argsort(owners, kind="stable")
-        self.grams = grams[order]
-        self.first = np.searchsorted(owners[order], np.arange(len(one)))  # each word has a 3-gram at least
+        return grams[np.argsort(owners, kind="stable")], np.bincount(owners, minlength=len(size))
 
 
 def windows(count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
