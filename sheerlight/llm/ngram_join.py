@@ -45,9 +45,6 @@ SHINGLE = 5
 PERCENT = 75
 #: Shingles a task packs before it hands them on.
 PACK_TOKENS = 1 << 20
-#: Buckets of shingles at least.  A set comes back from as many buckets as its repeated shingles lie in: one row for each shingle at most, however
-#: many buckets there are, and on small tables about as many as on large ones.
-LEAST_BUCKETS = 96
 #: Sets of one pack that make a shingle hot.
 HOT = 48
 _MOST = np.uint64(127)
@@ -187,29 +184,35 @@ def _value(level: np.ndarray, bucket: np.ndarray, token: np.ndarray) -> np.ndarr
     return level << np.uint64(56) | (bucket & np.uint64(255)) << np.uint64(48) | token
 
 
+def _read(blob: pa.Buffer, at: int, kind: type, n: int) -> tuple[np.ndarray, int]:
+    x = np.frombuffer(blob, kind, n, at)
+    return x, at + x.nbytes
+
+
 def _repeated(table: pa.Table, buckets: int) -> pa.Table:
-    """Of a bucket: for each set, its shingles that two sets or more have, as frequency class << 56 | shingle."""
+    """Of a bucket, for each bucket of digests: its sets and those of their shingles that two sets or more have, packed.
+
+    Shingles are written as frequency class << 56 | shingle.  So there are as many rows as pairs of buckets at most, whatever the input.
+    """
     bucket = table.column(0)[0].as_py()
     digests, sizes, tokens, marks = [], [], [], [np.zeros(0, np.uint64)]
     for payload in table.column(1):
         blob, at = payload.as_buffer(), 0
-
-        def take(kind: type, n: int) -> np.ndarray:
-            nonlocal at
-            x = np.frombuffer(blob, kind, n, at)
-            at += x.nbytes
-            return x
-
         if bucket < buckets:
-            marks.append(take(np.uint64, int(take(np.uint64, 1)[0])))
-        k = int(take(np.uint64, 1)[0])
-        digest, n, count = take(np.uint64, k), take(np.uint32, k), take(np.uint32, k)
+            many, at = _read(blob, at, np.uint64, 1)
+            own_marks, at = _read(blob, at, np.uint64, int(many[0]))
+            marks.append(own_marks)
+        k, at = _read(blob, at, np.uint64, 1)
+        digest, at = _read(blob, at, np.uint64, int(k[0]))
+        n, at = _read(blob, at, np.uint32, int(k[0]))
+        count, at = _read(blob, at, np.uint32, int(k[0]))
         m = int(count.sum())
         if bucket < buckets:
-            low, mid = take(np.uint32, m), take(np.uint16, m)
+            low, at = _read(blob, at, np.uint32, m)
+            mid, at = _read(blob, at, np.uint16, m)
             tokens.append(mid.astype(np.uint64) << np.uint64(32) | low)
         else:
-            tokens.append(take(np.uint64, m))
+            tokens.append(_read(blob, at, np.uint64, m)[0])
         digests.append(np.repeat(digest, count))
         sizes.append(np.repeat(n, count))
     digest, size, token = (np.concatenate(x) for x in (digests, sizes, tokens))
@@ -233,14 +236,42 @@ def _repeated(table: pa.Table, buckets: int) -> pa.Table:
         many = (df > 1) | often
         digest, size, token, df, often = digest[many], size[many], token[many], df[many], often[many]
         level = np.where(often, 127, np.minimum(126, np.floor(6 * np.log2(np.maximum(df, 1)))))
-        value = _value(level.astype(np.uint64), np.full(len(token), bucket, np.uint64), token)
-    else:
-        value = token
+        token = _value(level.astype(np.uint64), np.full(len(token), bucket, np.uint64), token)
+    home = (digest % np.uint64(buckets)).astype(np.int32)
+    order = np.lexsort((digest, home))
+    home, digest, size, token = home[order], digest[order], size[order], token[order]
+    which, first = np.unique(home, return_index=True)
+    edges, blobs = np.append(first, len(home)), []
+    for i, j in zip(edges[:-1], edges[1:], strict=True):
+        own, at, count = np.unique(digest[i:j], return_index=True, return_counts=True)
+        blobs.append(b"".join(x.tobytes() for x in (np.array([len(own)], np.uint64), own, size[i:j][at].astype(np.uint32), count.astype(np.uint32), token[i:j])))
+    return pa.table({"home": pa.array(which, pa.int32()), "payload": pa.array(blobs, pa.binary())})
+
+
+def _gathered(table: pa.Table, percent: int) -> pa.Table:
+    """Of a bucket of digests: the sets that may link, with their repeated shingles from the rarest on."""
+    digests, sizes, values = [], [], []
+    for payload in table.column(1):
+        blob = payload.as_buffer()
+        k, at = _read(blob, 0, np.uint64, 1)
+        digest, at = _read(blob, at, np.uint64, int(k[0]))
+        n, at = _read(blob, at, np.uint32, int(k[0]))
+        count, at = _read(blob, at, np.uint32, int(k[0]))
+        digests.append(np.repeat(digest, count))
+        sizes.append(np.repeat(n, count))
+        values.append(_read(blob, at, np.uint64, int(count.sum()))[0])
+    digest, size, value = (np.concatenate(x) for x in (digests, sizes, values))
     order = np.lexsort((value, digest))
     digest, size, value = digest[order], size[order], value[order]
+    fresh = np.ones(len(value), bool)
+    fresh[1:] = (value[1:] != value[:-1]) | (digest[1:] != digest[:-1])
+    digest, size, value = digest[fresh], size[fresh].astype(np.int64), value[fresh]
     own, first, count = np.unique(digest, return_index=True, return_counts=True)
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(value.view(np.int64)))
-    return pa.table({"digest": pa.array(own.view(np.int64)), "n": pa.array(size[first].astype(np.int64)), "shared": lists})
+    need = -(-size[first] * percent // 100)
+    keep = count >= need
+    value, own, size, count = value[np.repeat(keep, count)], own[keep], size[first][keep], count[keep]
+    lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int64()), pa.array(value.view(np.int64)))
+    return pa.table({"digest": pa.array(own.view(np.int64)), "n": pa.array(size), "shared": lists.cast(pa.list_(pa.int64()))})
 
 
 def required(n: Column, percent: int = PERCENT) -> Column:
@@ -252,10 +283,10 @@ def candidates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, tex
     """Sets that may link: digest, n, and their repeated shingles from the rarest on (``shared``)."""
     spark = docs.sparkSession
     small_batches(spark)
-    buckets = max(LEAST_BUCKETS, 2 * shuffle_parts(spark))
-    back = _packed(docs, buckets, size, text).groupBy("bucket").applyInArrow(lambda t: _repeated(t, buckets), "digest long, n long, shared array<long>")
-    whole = back.groupBy("digest").agg(F.max("n").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("shared")))).alias("shared"))  # no longer than the document
-    return cut(whole.filter(F.size("shared") >= required(F.col("n"), percent)))
+    buckets = 2 * shuffle_parts(spark)
+    back = _packed(docs, buckets, size, text).groupBy("bucket").applyInArrow(lambda t: _repeated(t, buckets), "home int, payload binary")
+    # A set's shingles are all in one bucket of digests; a set's list is no longer than its document.
+    return cut(back.groupBy("home").applyInArrow(lambda t: _gathered(t, percent), "digest long, n long, shared array<long>"))
 
 
 def light_limit(cand: DataFrame, percent: int = PERCENT, most: int = LIGHT_MOST) -> int:
