@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -259,6 +260,40 @@ def test_near_lines_of_all_lengths_are_found(spark):
     assert found >= 0.95 * len(rows) / 2 and not any(r.n_dropped for r in got if r.doc_id % 2 == 0) and len(rows) > 600
 
 
+def test_nearness_is_exact():
+    """The filter before it leaves no near pair out; the test itself is the edit distance's."""
+    rng = random.Random(7)
+    one, other = [], []
+    for _ in range(600):
+        letters = "abcdefgh é日\U0001f600"[: rng.choice([3, 8, 12])]
+        line = "".join(rng.choice(letters) for _ in range(rng.randint(0, 90)))
+        edited = list(line)
+        for _ in range(rng.randint(0, len(line) // 4 + 1)):
+            at = rng.randrange(len(edited) + 1)
+            edited[at : at + rng.randint(0, 1)] = rng.choice(["", rng.choice(letters)])
+        one.append(line)
+        other.append("".join(edited))
+    want = [distance(a, b) <= int(max(len(a), len(b)) * (1 - lines.SIMILARITY) + 1e-9) for a, b in zip(one, other, strict=True)]
+    assert 100 < sum(want) < 500
+    assert [lines.near(a, b) for a, b in zip(one, other, strict=True)] == want
+    may = lines._may_be_near(pa.array(one, pa.string()), pa.array(other, pa.string()))
+    assert not (np.array(want) & ~may).any()
+    words = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(40)) for _ in range(40)]
+    assert not lines._may_be_near(pa.array(words[:20], pa.string()), pa.array(words[20:], pa.string())).any()
+
+
+def test_places_of_a_shared_gram_leave_pairs_out():
+    """Lines of like lengths that share an n-gram far from the same place are no candidates; lines shifted by their edits are."""
+    key, chars = np.array([1, 1, 2, 2, 3, 3, 4], np.uint32), np.array([100, 100, 100, 110, 100, 118, 50])
+    before = np.array([5, 60, 5, 15, 5, 5, 0])
+    order = np.lexsort((chars, key))
+    assert lines._company(key[order], chars[order], before[order]).tolist() == [False, False, True, True, False, False, False]
+    many = np.full(5000, 9, np.uint32)
+    assert lines._company(many, np.full(5000, 100), np.arange(5000) * 20).all()  # beyond the neighbours that are looked at, all stay
+    n = np.array([1, 2, 4095, 70001, 10_000_019])
+    assert (np.abs(lines._decoded(lines._coded(n)) - n) <= n / 2048 * (n >= 4096)).all()
+
+
 def test_short_and_unspaced_lines(spark):
     han = "这是一个没有空格的很长的句子用来检查重复的行是否会被删除"
     rows = [(1, f"Read more\n{han}\n---\n"), (2, f"read more!\n{han}\n---\n"), (3, "x\n" + han.replace("检查", "检验")), (4, "X\nRead mode no more")]
