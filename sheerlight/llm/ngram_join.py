@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, cut, mix, shuffle_parts, small_batches, text_chunks, tidy
+from .common import Words, cut, mix, release, shuffle_parts, small_batches, text_chunks, tidy
 from .graph import candidate_components
 
 SHINGLE = 5
@@ -353,6 +353,7 @@ def _verified(pairs: DataFrame, cand: DataFrame, percent: int) -> DataFrame:
 def set_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, text: str = "text") -> DataFrame:
     """digest and root of each set that links with another."""
     cand = candidates(docs, size, percent, text)
+    release(docs.sparkSession)  # the packed shingles, before pairs are made
     entries = list_entries(cand, light_limit(cand, percent), percent).persist()
     found = candidate_components(entries, lambda x, y: _may_link(x, y, percent), lambda pairs: _verified(pairs, cand, percent), FIRST_PAIRS, _told)
     return found.select(F.col("node").alias("digest"), "root")
@@ -380,6 +381,8 @@ def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PE
     place = F.struct(F.col("row.key").isNull().alias("none"), F.col("row.key").alias("key"), F.col("row.h").alias("h"))
     tops = placed.filter("n > 0").groupBy("root").agg(F.min(place).alias("top")).select("top.key", "top.h")
     held = cut(tops.union(placed.filter("n = 0").select("row.key", "row.h").distinct()).select(F.col("key").alias("__key"), F.col("h").alias("__h")))
+    del roots, rows, placed, tops
+    release(docs.sparkSession)
     out = docs.join(held.hint("merge"), docs[key].cast("long").eqNullSafe(F.col("__key")) & (F.xxhash64(docs[text].cast("string")) == F.col("__h")), "left_semi")
     more = named.groupBy("row").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").limit(1).count()
     return out.dropDuplicates([key, text]) if more else out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -12,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sheerlight.llm import lines, ngram_join
+from sheerlight.llm.common import release
 from sheerlight.llm.graph import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -45,6 +47,18 @@ def test_components(spark, seed):
     assert {r.node: r.root for r in rows} == {x: u.find(x) for x in u.up if x not in alone}
 
 
+def test_rounds_give_back_what_they_leave(spark):
+    """Plans and shuffles of past rounds don't pile up on the driver."""
+    held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    release(spark)
+    time.sleep(1)
+    before = held.size()
+    out = connected_components(spark.range(64).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    time.sleep(1)
+    assert held.size() - before < 20  # of some 40 in all
+    assert out.count() == 65
+
+
 def test_no_edges(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
