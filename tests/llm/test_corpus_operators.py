@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sheerlight.llm import lines, ngram_join
 from sheerlight.llm.common import release
-from sheerlight.llm.graph import connected_components
+from sheerlight.llm.graph import connected_components, paired_components
 
 SF = "/root/testdata/sf0.001"
 
@@ -308,6 +308,27 @@ def test_places_of_a_shared_gram_leave_pairs_out():
     assert (np.abs(lines._decoded(lines._coded(n)) - n) <= n / 2048 * (n >= 4096)).all()
 
 
+def test_pairs_of_short_lists_are_made_where_they_meet_and_tested_once(spark, monkeypatch):
+    """Pairs that the first search tells apart are not compared again; lists of any length give the same groups."""
+    rng = random.Random(5)
+    common = "the same twelve and more bytes "
+    rows = [common + " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(6)) for _ in range(40)]
+    rows += [r[:-1] + "z" for r in rows[:10]]
+    docs = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "doc_id long, text string")
+    seen = []
+
+    def tested(few):
+        monkeypatch.setattr(lines, "FEW", few)
+        monkeypatch.setattr(lines, "paired_components", lambda tied, few, many, may, verified, k=3: paired_components(tied, few, many, may, lambda p: seen.append(sorted(map(tuple, p.collect()))) or verified(p), k))
+        groups = {r.hash: r.root for r in lines.line_groups(docs, "text").collect()}
+        return groups, [p for s in seen for p in s]
+
+    for few in (1, 8, 64):
+        seen.clear()
+        groups, pairs = tested(few)
+        assert len(pairs) == len(set(pairs)) and Counter(groups.values()) == dict.fromkeys(groups.values(), 2) and len(groups) == 20
+
+
 def test_short_and_unspaced_lines(spark):
     han = "这是一个没有空格的很长的句子用来检查重复的行是否会被删除"
     rows = [(1, f"Read more\n{han}\n---\n"), (2, f"read more!\n{han}\n---\n"), (3, "x\n" + han.replace("检查", "检验")), (4, "X\nRead mode no more")]
