@@ -329,6 +329,71 @@ def test_pairs_of_short_lists_are_made_where_they_meet_and_tested_once(spark, mo
         assert len(pairs) == len(set(pairs)) and Counter(groups.values()) == dict.fromkeys(groups.values(), 2) and len(groups) == 20
 
 
+def test_common_grams_come_last_and_leave_no_line_without_keys():
+    """Few lines that share only what is common have a key in common; near copies of lines that are mostly common still have, and so have lines with edits."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    usual = " ".join(word() for _ in range(8))
+    apart = [f"{' '.join(word() for _ in range(20))} {usual} {' '.join(word() for _ in range(20))}" for _ in range(30)]
+    plain = [" ".join(word() for _ in range(40)) for _ in range(30)]
+    same = [f"{usual} {word()}" for _ in range(30)]
+    whole = apart + same + plain + [line[:100] + "q" + line[101:200] + "x" + line[201:] for line in plain]
+    data = "\n".join(whole).encode()
+    x = lines.Lines(np.frombuffer(data, np.uint8), np.array([0, len(data)]), sims=False)
+    bare = f" {usual} ".encode()
+    flat = lines.Lines(np.frombuffer(bare, np.uint8), np.array([0, len(bare)]), sims=False)
+    counts = np.zeros(1 << lines.COUNTER_BITS, bool)
+    counts[lines._counter(flat.grams(flat.fuzzy, lines.GRAM)[0] >> np.uint64(1))] = True
+    sets = []
+    for common in (None, np.packbits(counts, bitorder="little")):
+        found = defaultdict(set)
+        for key, owner in zip(*(v.tolist() for v in x.keys(np.arange(len(whole)), common)[:2]), strict=True):
+            found[owner].add(key)
+        sets.append(found)
+    pairs = lambda found, lo, hi: sum(bool(found[i] & found[j]) for i in range(lo, hi) for j in range(lo, i))
+    assert pairs(sets[0], 0, 30) > 300 and pairs(sets[1], 0, 30) < 30  # a bin may hold common ones only
+    assert pairs(sets[1], 30, 60) == pairs(sets[0], 30, 60) == 435
+    assert all(sets[1][60 + k] & sets[1][90 + k] for k in range(30))
+
+
+def test_sketches_of_short_lines_lose_no_near_pair():
+    """Chance pairs of short lines are left out before any text is fetched; edits change no more bits than they may."""
+    rng = random.Random(9)
+    one, other, k = [], [], []
+    for _ in range(400):
+        line = "".join(rng.choice("abcdeé日\U0001f600") for _ in range(rng.randint(7, 48)))
+        n = rng.randint(0, int(len(line) * (1 - lines.SIMILARITY) + 1e-9))
+        out = list(line)
+        for _ in range(n):
+            at = rng.randrange(len(out))
+            out[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "日"])
+        one.append(line)
+        other.append("".join(out))
+        k.append(n)
+    data = "\n".join(one + other).encode()
+    x = lines.Lines(np.frombuffer(data, np.uint8), np.array([0, len(data)]), sims=False)
+    sketch, i = x.sketches(np.arange(800)), np.arange(400)
+    assert lines._alike(sketch, i, i + 400, np.array(k)).all()
+    words = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(6)) for _ in range(100)]
+    data = "\n".join(words).encode()
+    sketch = lines.Lines(np.frombuffer(data, np.uint8), np.array([0, len(data)]), sims=False).sketches(np.arange(100))
+    assert lines._alike(sketch, i[:50], i[50:100], np.full(50, 6)).sum() == 0
+
+
+def test_further_pairs_in_rounds_give_the_same_groups(spark, monkeypatch):
+    """Pairs beyond one round's are tested in several, each once; without a task's memory of a line the groups are the same."""
+    from sheerlight.llm import graph
+
+    rng = random.Random(5)
+    rows = ["the same twelve and more bytes " + " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(6)) for _ in range(40)]
+    rows += [r[:-1] + "z" for r in rows[:10]]
+    docs = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "doc_id long, text string")
+    want = {r.hash: r.root for r in lines.line_groups(docs, "text").collect()}
+    monkeypatch.setattr(graph, "ROUND", 0)
+    monkeypatch.setattr(graph, "LEAST_ROUND", 50)
+    assert {r.hash: r.root for r in lines.line_groups(docs, "text").collect()} == want and len(want) == 20
+
+
 def test_short_and_unspaced_lines(spark):
     han = "这是一个没有空格的很长的句子用来检查重复的行是否会被删除"
     rows = [(1, f"Read more\n{han}\n---\n"), (2, f"read more!\n{han}\n---\n"), (3, "x\n" + han.replace("检查", "检验")), (4, "X\nRead mode no more")]
